@@ -1,0 +1 @@
+"""Left empty on purpose: every input of this workload is a finished file, none is a stream."""
