@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CELLS = 4_000_000
 
@@ -71,13 +72,13 @@ def _batched(left: pd.Series, right: pd.Series, substitute: bool, transpose: boo
     return out.astype("Int64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa(left: pd.Series, right: pd.Series) -> pd.Series:
     """Optimal string alignment: edits plus swaps of neighbours, no part edited twice."""
     return _batched(left, right, substitute=True, transpose=True)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     """Insertions and deletions only."""
     return _batched(left, right, substitute=False, transpose=False)
@@ -109,7 +110,7 @@ def _full_damerau(a: str, b: str) -> int:
     return cost[len(a), len(b)]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def damerau(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(
         [None if a is None or b is None else _full_damerau(a, b) for a, b in zip(left, right, strict=True)],
@@ -137,7 +138,7 @@ def _jaro_distance(a: str, b: str) -> float:
     return 1.0 - (m / len(a) + m / len(b) + (m - half_swaps) / m) / 3.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaro distance (Jaro-Winkler without a prefix bonus)."""
     return pd.Series(

@@ -1 +1,72 @@
-"""Queries."""
+"""Queries for the string-distance battery over a table of candidate pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyfield.functions import distances as d
+from tallyfield.operators.fuzzy import matching_names
+from tallyfield.registry.cleaning import rounded
+from tallyfield.registry.core import query
+from tallyfield.registry.joins import site_names
+from tallyfield.registry.views import lcs_ctes, osa_ctes
+
+
+def candidate_pairs(spark, folder):
+    """Plain and secure site names within four edits."""
+    plain, secure = site_names(spark, folder)
+    pairs = matching_names(plain, secure.withColumnRenamed("listed_name", "name"), 4, "lv")
+    return pairs.select(F.col("lname").alias("a"), F.col("rname").alias("b"))
+
+
+_CHARS = """
+chars AS (SELECT a, b, ch, count(*) FILTER (side = 0) AS m, count(*) FILTER (side = 1) AS n FROM (
+  SELECT a, b, unnest(string_split(a, '')) AS ch, 0 AS side FROM pairs UNION ALL
+  SELECT a, b, unnest(string_split(b, '')), 1 FROM pairs) GROUP BY ALL)
+"""
+
+
+def _metric(name, sql, build):
+    @query(name, sql, "pairs")
+    def run(spark, folder):
+        return rounded(candidate_pairs(spark, folder).withColumn("dist", build(F.col("a"), F.col("b"))))
+
+    return run
+
+
+_metric("k1_osa", f"WITH RECURSIVE {osa_ctes('SELECT a, b FROM pairs')} SELECT a, b, CAST(dist AS INTEGER) AS dist FROM osa", d.osa)
+_metric("k2_levenshtein", "SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS dist FROM pairs", F.levenshtein)
+_metric("k3_damerau", "SELECT a, b, CAST(damerau_levenshtein(a, b) AS INTEGER) AS dist FROM pairs", d.damerau)
+_metric("k4_hamming", """
+SELECT a, b, CASE WHEN length(a) = length(b) THEN CAST(hamming(x, y) AS DOUBLE) ELSE CAST('Infinity' AS DOUBLE) END AS dist
+FROM (SELECT a, b, rpad(a, CAST(greatest(length(a), length(b)) AS INTEGER), ' ') AS x, rpad(b, CAST(greatest(length(a), length(b)) AS INTEGER), ' ') AS y FROM pairs)
+""", d.hamming)
+_metric("k5_lcs", f"WITH RECURSIVE {lcs_ctes('SELECT a, b FROM pairs')} SELECT a, b, CAST(dist AS INTEGER) AS dist FROM lcs", d.lcs)
+_metric("k6_qgram", f"WITH {_CHARS} SELECT a, b, CAST(sum(abs(m - n)) AS INTEGER) AS dist FROM chars GROUP BY a, b", d.qgram)
+_metric("k7_cosine", f"""
+WITH {_CHARS} SELECT a, b, round(CASE WHEN a = b THEN 0 ELSE 1 - sum(m * n) / (sqrt(sum(m * m)) * sqrt(sum(n * n))) END, 6) + 0.0 AS dist FROM chars GROUP BY a, b
+""", d.cosine)
+_metric("k8_jaccard", f"""
+WITH {_CHARS} SELECT a, b, round(1 - count(*) FILTER (m > 0 AND n > 0) / count(*), 6) AS dist FROM chars GROUP BY a, b
+""", d.jaccard)
+_metric("k9_jaro", "SELECT a, b, round(1 - jaro_similarity(a, b), 6) AS dist FROM pairs", d.jaro)
+
+
+def _soundex_sql(text: str) -> str:
+    """Letter classes, neighbours of one class taken together, vowels dropped, padded to three."""
+    codes = f"translate(regexp_replace(upper({text}), '[^A-Z]', '0', 'g'), 'AEIOUYBFPVCGJKQSXZDTLMNRHW', '00000011112222222233455677')"
+    line = f"({codes})[1] || replace(({codes})[2:], '7', '')"
+    for digit in range(7):
+        line = f"regexp_replace({line}, '{digit}+', '{digit}', 'g')"
+    return f"upper({text}[1]) || (replace(({line})[2:], '0', '') || '000')[1:3]"
+
+
+_metric("k10_soundex", f"SELECT a, b, CAST({_soundex_sql('a')} <> {_soundex_sql('b')} AS INTEGER) AS dist FROM pairs", d.soundex_differs)
+
+
+@query("k0_distance_report", """
+SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS lv, CAST(damerau_levenshtein(a, b) AS INTEGER) AS dl, round(1 - jaro_similarity(a, b), 6) AS jw FROM pairs
+""", "pairs")
+def k0(spark, folder):
+    report = candidate_pairs(spark, folder).select("a", "b", *d.distance_columns(F.col("a"), F.col("b")))
+    return rounded(report.select("a", "b", "lv", "dl", "jw"))

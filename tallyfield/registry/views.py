@@ -200,3 +200,30 @@ _view("pairs", "site_names", """
 SELECT l.name AS a, r.name AS b FROM (SELECT DISTINCT name FROM site_names WHERE NOT secure) l
 JOIN (SELECT DISTINCT name FROM site_names WHERE secure) r ON levenshtein(l.name, r.name) <= 4
 """)
+
+
+def osa_ctes(pairs: str) -> str:
+    """Swap-aware edit distance of the (a, b) pairs by a recursive table: one row of edit costs per step."""
+    return _table_ctes(
+        pairs,
+        "osa",
+        "CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END",
+        "CASE WHEN i > 0 AND j > 1 AND a[i + 1] = b[j - 1] AND a[i] = b[j] THEN above[j - 1] + 1 ELSE 1000000 END",
+    )
+
+
+def lcs_ctes(pairs: str) -> str:
+    return _table_ctes(pairs, "lcs", "CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 2 END", "1000000")
+
+
+def _table_ctes(pairs: str, name: str, cost: str, swap: str) -> str:
+    return f"""
+{name}_pairs AS ({pairs}),
+{name}_table AS (
+  SELECT a, b, 0 AS i, CAST([] AS BIGINT[]) AS above, range(0, length(b) + 1) AS line FROM {name}_pairs
+  UNION ALL
+  SELECT a, b, i + 1, line, list_transform(range(0, length(b) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda t: best[t + 1] + j - t)))
+  FROM (SELECT *, list_concat([i + 1], list_transform(range(1, length(b) + 1), lambda j:
+      least(line[j + 1] + 1, line[j] + {cost}, {swap}))) AS best FROM {name}_table WHERE i < length(a))
+),
+{name} AS (SELECT a, b, line[length(b) + 1] AS dist FROM {name}_table WHERE i = length(a))"""
