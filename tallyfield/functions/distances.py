@@ -72,12 +72,16 @@ def _batched(left: pd.Series, right: pd.Series, substitute: bool, transpose: boo
     return out.astype("Int64")
 
 
-@F.pandas_udf(T.IntegerType())
-def osa(left: pd.Series, right: pd.Series) -> pd.Series:
+def _osa(left: pd.Series, right: pd.Series) -> pd.Series:
     """Optimal string alignment: edits plus swaps of neighbours, no part edited twice."""
     return _batched(left, right, substitute=True, transpose=True)
 
 
+osa = F.pandas_udf(_osa, T.IntegerType())
+# Spark neither repeats a function marked like this nor moves it below a distinct or a union.
+osa_in_place = F.pandas_udf(_osa, T.IntegerType()).asNondeterministic()
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     """Insertions and deletions only."""

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.functions.nulls import not_listed
+from tallyfield.operators.joins import spread
 
 GOMPERTZ_SCHEMA = (
     "site_key bigint, status string, message string, n int, term string, estimate double, std_error double, "
@@ -131,4 +132,4 @@ def gompertz_fits(panel: DataFrame, y: str = "downloads", x: str = "cum_uploads"
     rows = panel.where(not_listed(F.col("site_key"), excluded)).select(
         "site_key", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    return rows.groupBy("site_key").applyInPandas(_fit_site, GOMPERTZ_SCHEMA)
+    return spread(rows, "site_key").groupBy("site_key").applyInPandas(_fit_site, GOMPERTZ_SCHEMA)

@@ -23,6 +23,15 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
     return df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into the session's full number of partitions.
+
+    For stages whose cost is computing and not bytes: adaptive execution merges small partitions, but never those of a
+    stated number.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join in which a missing key matches a missing key; key columns appear once.
 
