@@ -57,7 +57,7 @@ def _start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([height[best], shape[best], rate[best]])
 
 
-def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """Estimates, standard errors and residual deviation of Asym * exp(-b2 * b3 ** x); raises ValueError on failure."""
     n = len(x)
     if n < 4 or len(np.unique(x)) < 4:

@@ -72,35 +72,27 @@ def ledger_running_total(
     when one entity holds most rows on one day. Three levels add up: rows before in the slice, slices before in the
     day, days before in the entity. Only the first level moves full rows, and it moves them once.
     """
-    rows = df.withColumn("__slice", F.floor(F.col(row_id) / F.lit(slice_rows)))
-    per_slice = [*keys, day, "__slice"]
-    per_day = [*keys, day]
+    # A struct is never NULL itself and equals another one field by field, NULLs included. Grouping, windows and the
+    # join therefore agree on one key, and the join finds the rows already partitioned by it.
+    rows = df.withColumn("__slice", F.struct(*keys, day, F.floor(F.col(row_id) / F.lit(slice_rows)).alias("__part")))
     missing = F.count_if(F.col(value).isNull())
-    slices = rows.groupBy(*per_slice).agg(F.sum(value).alias("__sum"), missing.alias("__missing"))
-    before_slice = (
-        Window.partitionBy(*per_day).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    slices = (
+        rows.groupBy("__slice")
+        .agg(F.sum(value).alias("__sum"), missing.alias("__missing"))
+        .withColumn("__day", F.struct(*[F.col(f"__slice.{c}").alias(c) for c in (*keys, day)]))
     )
-    slice_offsets = slices.select(
-        *per_slice,
-        F.coalesce(F.sum("__sum").over(before_slice), F.lit(0)).alias("__sum_slices"),
-        F.coalesce(F.sum("__missing").over(before_slice), F.lit(0)).alias("__missing_slices"),
+    before_slice = (
+        Window.partitionBy("__day").orderBy("__slice.__part").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
+    slice_offsets = slices.select("__slice", "__day", *_before(before_slice, "slices"))
+    days = slices.groupBy("__day").agg(F.sum("__sum").alias("__sum"), F.sum("__missing").alias("__missing"))
     before_day = (
-        Window.partitionBy(*keys)
-        .orderBy(F.asc_nulls_last(day))
+        Window.partitionBy(F.struct(*[F.col(f"__day.{k}") for k in keys]))
+        .orderBy(F.asc_nulls_last(f"__day.{day}"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     )
-    day_offsets = (
-        slices.groupBy(*per_day)
-        .agg(F.sum("__sum").alias("__sum"), F.sum("__missing").alias("__missing"))
-        .select(
-            *per_day,
-            F.coalesce(F.sum("__sum").over(before_day), F.lit(0)).alias("__sum_days"),
-            F.coalesce(F.sum("__missing").over(before_day), F.lit(0)).alias("__missing_days"),
-        )
-    )
-    offsets = null_safe_join(slice_offsets, day_offsets, per_day, "inner")
-    within = Window.partitionBy(*per_slice).orderBy(row_id).rowsBetween(Window.unboundedPreceding, 0)
+    offsets = slice_offsets.join(days.select("__day", *_before(before_day, "days")), "__day").drop("__day")
+    within = Window.partitionBy("__slice").orderBy(row_id).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns(
         {
             "__sum_rows": F.coalesce(F.sum(value).over(within), F.lit(0)),
@@ -109,9 +101,12 @@ def ledger_running_total(
     )
     total = F.col("__sum_rows") + F.col("__sum_slices") + F.col("__sum_days")
     gaps = F.col("__missing_rows") + F.col("__missing_slices") + F.col("__missing_days")
-    return null_safe_join(local, offsets, per_slice, "inner").select(
-        *[F.col(c) for c in df.columns], F.when(gaps == 0, total).alias(out)
-    )
+    return local.join(offsets, "__slice").select(*df.columns, F.when(gaps == 0, total).alias(out))
+
+
+def _before(w, level: str) -> list[Column]:
+    """Sums of the preceding rows' totals and missing counts."""
+    return [F.coalesce(F.sum(f"__{c}").over(w), F.lit(0)).alias(f"__{c}_{level}") for c in ("sum", "missing")]
 
 
 def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators.joins import null_safe_join
+from tallyfield.session import materialised
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 PROFILE_POINTS = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
@@ -39,25 +39,28 @@ def _ranges(freq: DataFrame, ranges: int) -> DataFrame:
 
 
 def ranked_frequencies(freq: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """Add `before` and `upto` (rows below, rows up to and including the value) and the group size `total`."""
+    """Add `before` and `upto` (rows below, rows up to and including the value) and the group size `total`.
+
+    `freq` is read three times, so hand in a materialised table.
+    """
     if ranges is None:
         ranges = max(8, min(1000, int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cut = _ranges(freq, ranges)
+    # One struct key serves the window and the join: NULL groups stay groups, and the values are shuffled once.
+    cut = _ranges(freq, ranges).withColumn("__cell", F.struct(*by, "__range"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
     offsets = (
-        cut.groupBy(*by, "__range")
+        cut.groupBy("__cell", *by, "__range")
         .agg(F.sum("n").alias("__n"))
         .select(
-            *by,
-            "__range",
+            "__cell",
             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
             F.sum("__n").over(Window.partitionBy(*by)).alias("total"),
         )
     )
-    within = Window.partitionBy(*by, "__range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("__upto", F.sum("n").over(within))
     upto = F.col("__upto") + F.col("__offset")
-    return null_safe_join(local, offsets, [*by, "__range"], "inner").select(
+    return local.join(offsets, "__cell").select(
         *by, "value", "n", (upto - F.col("n")).alias("before"), upto.alias("upto"), "total"
     )
 
@@ -84,19 +87,35 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with one column per quantile, missing values left out."""
     names = names or [f"q{round(p * 100):02d}" for p in points]
-    ranked = ranked_frequencies(value_frequencies(df, value, by), by, ranges)
+    freq = materialised(value_frequencies(df, value, by), "frequencies")
+    return quantiles_of(freq, points, names, by, ranges)
+
+
+def quantiles_of(
+    freq: DataFrame,
+    points: Sequence[float],
+    names: Sequence[str],
+    by: Sequence[str] = (),
+    ranges: int | None = None,
+) -> DataFrame:
+    """`exact_quantiles` of a frequency table."""
+    ranked = ranked_frequencies(freq, by, ranges)
     return ranked.groupBy(*by).agg(*[quantile_at(p).alias(name) for p, name in zip(points, names, strict=True)])
 
 
 def six_numbers(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Per column: minimum, quartiles, mean, maximum and the number of missing values."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
-    ranked = ranked_frequencies(value_frequencies(long, "value", ["column"]), ["column"], ranges)
+    freq = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    freq = materialised(freq, "frequencies")
+    ranked = ranked_frequencies(freq.where(F.col("value").isNotNull()), ["column"], ranges)
     stats = ranked.groupBy("column").agg(
         *[quantile_at(p).alias(n) for p, n in zip(QUARTILES, ("min", "q1", "median", "q3", "max"), strict=True)],
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
     )
-    missing = long.groupBy("column").agg(F.count_if(F.col("value").isNull()).alias("missing"))
+    missing = freq.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing")
+    )
     return missing.join(stats, "column", "left")
 
 
@@ -119,7 +138,7 @@ def profile_table(df: DataFrame, ranges: int | None = None, edge: int = 5) -> Da
         for c in df.columns
     ]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    freq = long.groupBy("column", "text", "value").agg(F.count(F.lit(1)).alias("n"))
+    freq = materialised(long.groupBy("column", "text", "value").agg(F.count(F.lit(1)).alias("n")), "profile")
     present = F.col("text").isNotNull() | F.col("value").isNotNull()
     counts = freq.groupBy("column").agg(
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("n"),

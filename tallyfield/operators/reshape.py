@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.joins import null_safe_join
-from tallyfield.operators.quantiles import exact_quantiles, value_frequencies
+from tallyfield.operators.quantiles import exact_quantiles, quantiles_of, value_frequencies
+from tallyfield.session import materialised
 
 
 def to_wide(df: DataFrame, rows: str, name: str, value: str, names: Sequence[str]) -> DataFrame:
@@ -56,10 +57,11 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFram
 
 def box_statistics(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5, ranges: int | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest values within `reach` quartile distances) and the number of outliers per group."""
-    quartiles = exact_quantiles(df, value, (0.25, 0.5, 0.75), ("q1", "median", "q3"), by, ranges)
+    freq = materialised(value_frequencies(df, value, by), "frequencies")
+    quartiles = quantiles_of(freq, (0.25, 0.5, 0.75), ("q1", "median", "q3"), by, ranges)
     gap = reach * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - gap, F.col("q3") + gap)
-    values = null_safe_join(value_frequencies(df, value, by), quartiles, by, "inner")
+    values = null_safe_join(freq, quartiles, by, "inner")
     return values.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
@@ -75,6 +77,7 @@ def log_density(df: DataFrame, by: str, value: str, cells: int = 64, ranges: int
     bounded by the grid and not by the rows. The bandwidth is 0.9 * min(sd, IQR / 1.34) * n ^ -0.2 per group.
     """
     logs = df.where(F.col(value) > 0).select(by, F.log10(F.col(value).cast("double")).alias("v"))
+    logs = materialised(logs, "logs")
     extent = logs.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("e"))
     step = (F.col("e.high") - F.col("e.low")) / (cells - 1)
     placed = (

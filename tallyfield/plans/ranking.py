@@ -10,6 +10,7 @@ from tallyfield.functions.text import join_key, parse_number, range_midpoint
 from tallyfield.operators.joins import null_safe_join, unmatched, yearly_spine
 from tallyfield.operators.ordered import change_from_previous
 from tallyfield.operators.typing import type_numbers
+from tallyfield.session import materialised
 
 # Source columns of a ranking document and the names they get.
 RENAMED = {
@@ -51,13 +52,19 @@ def score_panel(subscriptions: DataFrame, rankings: DataFrame, first: int, last:
     missing values take the year's highest known one; later years hand on their highest, earlier years receive the
     lowest of the next known year.
     """
-    subs = keyed(subscriptions, "parent_account")
+    subs = materialised(
+        keyed(subscriptions, "parent_account")
+        .groupBy("parent_account", "name", "year", "decision")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "events",
+    )
     names = subs.select("parent_account", "name").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("variants"))
-    events = subs.groupBy("name", "year", "decision").agg(F.count(F.lit(1)).alias("n_events"))
-    ranks = (
+    events = subs.groupBy("name", "year", "decision").agg(F.sum("n").alias("n_events"))
+    ranks = materialised(
         keyed(rankings, "university_name")
         .groupBy("name", "year", "world_rank", "total_score")
-        .agg(F.count(F.lit(1)).alias("n_ranks"))
+        .agg(F.count(F.lit(1)).alias("n_ranks")),
+        "ranks",
     )
     known = ranks.groupBy("name", "year").agg(
         *[f(c).alias(f"{c}_{tag}") for c in ("world_rank", "total_score") for f, tag in ((F.max, "high"), (F.min, "low"))]
@@ -125,6 +132,6 @@ def donor_pool(
     if left_out:
         university, country = left_out
         free = free.where(~((F.col("university_name") == university) & (F.col("country") == country)))
-    scores = free.select("year", "name", "total_score")
+    scores = materialised(free.select("year", "name", "total_score"), "donors")
     complete = scores.groupBy("name").agg(F.count_distinct("year").alias("years")).where(F.col("years") == last - first + 1)
     return null_safe_join(scores, complete.select("name"), ["name"], "left_semi")

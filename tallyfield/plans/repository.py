@@ -13,6 +13,7 @@ from tallyfield.operators.joins import daily_spine, natural_join, null_safe_join
 from tallyfield.operators.ordered import repair_cumulative, row_numbers, running_total
 from tallyfield.operators.quantiles import exact_quantiles
 from tallyfield.operators.reshape import to_long
+from tallyfield.session import materialised
 
 # Sites left out of the monthly panel, and the one left out of the daily panel.
 EXCLUDED_SITES = (2, 5, 8, 1794, 2730)
@@ -59,6 +60,7 @@ def size_thresholds(panel: DataFrame, snapshot: str) -> DataFrame:
 
 def label_sizes(panel: DataFrame, snapshot: str) -> DataFrame:
     """Rows with known content labelled low, medium or high by the snapshot's quartiles."""
+    panel = materialised(panel, "daily-panel")
     cut = size_thresholds(panel, snapshot).select(F.struct("q25", "q75")).scalar()
     rows = panel.where(F.col("ttl_uploads").isNotNull()).withColumn("__cut", cut)
     label = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tallyfield", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, label: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    For reduced tables that several branches or jobs read: the inputs behind them are then scanned once, lost executors
+    cost no recomputation, every branch sees the same rows, and the reader knows the table's real size.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

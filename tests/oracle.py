@@ -48,7 +48,8 @@ def compare(spark_df, con, sql):
     if got_names != want_names:
         return False, f"columns {got_names} != {want_names}"
     if len(got) != len(want):
-        return False, f"rows {len(got)} != {len(want)}; e.g. only spark {[r for r in got if r not in set(want)][:2]} only sql {[r for r in want if r not in set(got)][:2]}"
+        extra, lacking = set(got) - set(want), set(want) - set(got)
+        return False, f"rows {len(got)} != {len(want)}; only Spark {list(extra)[:2]}, only SQL {list(lacking)[:2]}"
     for g, w in zip(got, want, strict=True):
         if repr(g) != repr(w):
             return False, f"{got_names}: {g} != {w}"
