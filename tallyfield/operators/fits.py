@@ -48,7 +48,7 @@ def _two_sided_p(t: float, df: int) -> float:
 
 def _start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Best of a grid over shape and rate; the height follows from least squares."""
-    shape, rate = (g.ravel() for g in np.meshgrid(np.geomspace(0.1, 20, 24), np.geomspace(0.05, 20, 24)))
+    shape, rate = (g.ravel() for g in np.meshgrid(np.geomspace(0.1, 20, 14), np.geomspace(0.05, 20, 14)))
     curve = np.exp(-shape[:, None] * np.exp(-rate[:, None] * x))
     power = np.maximum((curve**2).sum(axis=1), 1e-300)
     height = (curve @ y) / power
@@ -87,7 +87,8 @@ def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.nd
             next_fitted, next_slope = model(theta + step)
             next_loss = float(((v - next_fitted) ** 2).sum())
         if np.isfinite(next_loss) and next_loss <= loss:
-            small = np.max(np.abs(step) / (np.abs(theta) + 1e-8)) < 1e-8 or loss - next_loss <= 1e-13 * loss
+            # A tiny gain means convergence only while the step is close to an undamped one.
+            small = np.max(np.abs(step) / (np.abs(theta) + 1e-8)) < 1e-8 or (loss - next_loss <= 1e-10 * loss and damping <= 1)
             theta, fitted, slope, loss, damping = theta + step, next_fitted, next_slope, next_loss, damping / 10
             if small:
                 converged = True

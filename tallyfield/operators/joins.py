@@ -24,12 +24,13 @@ def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by the keys into the session's full number of partitions.
+    """Hash-partition by the keys into twice the session's number of partitions.
 
     For stages whose cost is computing and not bytes: adaptive execution merges small partitions, but never those of a
-    stated number.
+    stated number. The number differs from the session's, as Spark drops a repartitioning that equals the one below it
+    and would then merge that one.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

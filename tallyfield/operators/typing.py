@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from tallyfield.functions.text import parse_number, parse_percent
 
-# The patterns and the share that decide a column's type.
+# The patterns and the share that decide a column's type. A rule asks for at least one character on a
+# side, for which one character is enough; longer runs only make the matcher go back and forth.
 MONTH_DAY_YEAR = "^[0-9]+/[0-9]+/([0-9]{2}|[0-9]{4})$"
 YEAR_MONTH_DAY = "^[0-9]{4}/[0-9]+/[0-9]+$"
-RATIO = ".+:.+"
-GROUPED = ".+,.+"
-PERCENT = ".+%$"
-DIGITS = "[0-9]+.+"
+RATIO = ".:."
+GROUPED = ".,."
+PERCENT = ".%$"
+DIGITS = "[0-9]."
 SHARE = 0.9
 
 
@@ -36,8 +37,16 @@ def _profile(df: DataFrame, columns: list[str], measures: dict) -> dict[str, dic
     return {c: {name: row[f"{i}_{name}"] for name in measures} for i, c in enumerate(columns)}
 
 
-def _as_date(text: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("date")
+def _as_date(text: Column, layout: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(layout)).cast("date")
+
+
+def _month_day_year(text: Column) -> Column:
+    """Four-digit years as they stand; two-digit years from 69 on belong to the last century."""
+    short = _as_date(text, "M/d/yy")
+    return F.coalesce(
+        _as_date(text, "M/d/yyyy"), F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short)
+    )
 
 
 def type_dates(df: DataFrame) -> DataFrame:
@@ -59,9 +68,9 @@ def type_dates(df: DataFrame) -> DataFrame:
     typed = {}
     for c in columns:
         if seen[c]["mdy"]:
-            typed[c] = _as_date(F.col(f"`{c}`"), ("M/d/yyyy", "M/d/yy"))
+            typed[c] = _month_day_year(F.col(f"`{c}`"))
         elif seen[c]["ymd"]:
-            typed[c] = _as_date(F.col(f"`{c}`"), ("yyyy/M/d",))
+            typed[c] = _as_date(F.col(f"`{c}`"), "yyyy/M/d")
     return df.withColumns(typed) if typed else df
 
 

@@ -83,6 +83,13 @@ def a4(spark, folder):
     return files.read_csv(spark, path, "site_key bigint, years int, months int, downloads bigint")
 
 
+@query("a4_partitioned_panel", "SELECT site_key, months, downloads, ttl_uploads, cum_uploads, years FROM content_repo WHERE years >= 2000", "content_repo")
+def a4_panel(spark, folder):
+    path = work_path(spark, "panel")
+    files.write_panel(content_repo(spark, folder), path, ["years"])
+    return spark.read.parquet(path).where(F.col("years") >= 2000)
+
+
 @query("a5_json_sink", """
 SELECT host, CASE WHEN bool_or(html LIKE '%<title>%') THEN 'success' ELSE 'try' END AS status FROM hosts JOIN pages USING (page_id)
 GROUP BY host
@@ -111,11 +118,7 @@ def b1(spark, folder):
         F.when(F.col("o_orderstatus") == "F", F.date_format(day, "yyyy/M/d")).otherwise(F.date_format(day, "M/d/yy")).alias("mixed"),
         "o_orderpriority",
     )
-    # Two-digit years stand for the 2000s in the format's rule, and dates of the 1990s are not written that way.
-    return type_dates(text).withColumn(
-        "short_date",
-        F.when(F.year("short_date") > 2050, F.add_months("short_date", -1200)).otherwise(F.col("short_date")),
-    )
+    return type_dates(text)
 
 
 @query("b2_number_typing", """

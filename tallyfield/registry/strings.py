@@ -64,9 +64,21 @@ def _soundex_sql(text: str) -> str:
 _metric("k10_soundex", f"SELECT a, b, CAST({_soundex_sql('a')} <> {_soundex_sql('b')} AS INTEGER) AS dist FROM pairs", d.soundex_differs)
 
 
-@query("k0_distance_report", """
-SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS lv, CAST(damerau_levenshtein(a, b) AS INTEGER) AS dl, round(1 - jaro_similarity(a, b), 6) AS jw FROM pairs
-""", "pairs")
+_REPORT = f"""
+WITH RECURSIVE {osa_ctes('SELECT a, b FROM pairs')}, {lcs_ctes('SELECT a, b FROM pairs')}, {_CHARS},
+counts AS (SELECT a, b, CAST(sum(abs(m - n)) AS INTEGER) AS qgram,
+    CASE WHEN a = b THEN 0 ELSE 1 - sum(m * n) / (sqrt(sum(m * m)) * sqrt(sum(n * n))) END AS cosine,
+    1 - count(*) FILTER (m > 0 AND n > 0) / count(*) AS jaccard FROM chars GROUP BY a, b),
+padded AS (SELECT a, b, rpad(a, CAST(greatest(length(a), length(b)) AS INTEGER), ' ') AS x, rpad(b, CAST(greatest(length(a), length(b)) AS INTEGER), ' ') AS y FROM pairs)
+SELECT a, b, CAST(osa.dist AS INTEGER) AS osa, CAST(levenshtein(a, b) AS INTEGER) AS lv, CAST(damerau_levenshtein(a, b) AS INTEGER) AS dl,
+  CASE WHEN length(a) = length(b) THEN CAST(hamming(x, y) AS DOUBLE) ELSE CAST('Infinity' AS DOUBLE) END AS hamming,
+  CAST(lcs.dist AS INTEGER) AS lcs, qgram, round(cosine, 6) + 0.0 AS cosine, round(jaccard, 6) AS jaccard,
+  round(1 - jaro_similarity(a, b), 6) AS jw, CAST({_soundex_sql('a')} <> {_soundex_sql('b')} AS INTEGER) AS soundex
+FROM osa JOIN lcs USING (a, b) JOIN counts USING (a, b) JOIN padded USING (a, b)
+"""
+
+
+@query("k0_distance_report", _REPORT, "pairs")
 def k0(spark, folder):
-    report = candidate_pairs(spark, folder).select("a", "b", *d.distance_columns(F.col("a"), F.col("b")))
-    return rounded(report.select("a", "b", "lv", "dl", "jw"))
+    """All ten metrics of every candidate pair."""
+    return rounded(candidate_pairs(spark, folder).select("a", "b", *d.distance_columns(F.col("a"), F.col("b"))))

@@ -119,6 +119,23 @@ def test_date_typing(spark):
     assert (first["a"], first["b"], first["long"]) == (day("2009-03-04"), day("2009-03-14"), day("2009-03-04"))
 
 
+def test_two_digit_years(spark, rows):
+    df = spark.createDataFrame([("1/2/68",), ("1/2/69",), ("2/29/96",), ("2/29/00",)], "d string")
+    got = {r[0] for r in rows(type_dates(df))}
+    assert got == {day("2068-01-02"), day("1969-01-02"), day("1996-02-29"), day("2000-02-29")}
+
+
+def test_csv_keeps_missing_and_empty_apart(spark, rows, tmp_path):
+    from tallyfield.sources.files import read_csv, read_text_csv, write_csv
+
+    df = spark.createDataFrame([(1, "a,b", None), (2, "", 1.5), (3, None, 2.0)], "k int, s string, v double")
+    path = str(tmp_path / "t")
+    write_csv(df, path)
+    assert rows(read_csv(spark, path, "k int, s string, v double")) == rows(df)
+    (tmp_path / "hand.csv").write_text("k,s\n1,NA\n2,\n3,x\n")
+    assert rows(read_text_csv(spark, str(tmp_path / "hand.csv"))) == [("1", None), ("2", None), ("3", "x")]
+
+
 def test_number_typing(spark):
     text = [("2,345", "45%", "51 : 49", "7", "12.5", "x"), ("1,234,567", "7%", "1 : 2", "8", "-", "y")] * 10 + [("1,000", "50%", "3 : 4", "9", "33", "z")] * 200
     df = type_numbers(spark.createDataFrame(text, "grouped string, share string, ratio string, digit string, score string, name string"))
