@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.session import materialised
+
 BROADCAST_ROWS = 200_000
 
 
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting the rows; a larger frame comes back unhinted and joins by shuffle.
 
-    The count stops at `max_rows + 1`, and the checked rows are kept so that the join does not compute them again.
+    Meant for aggregates: the frame is written once, so neither the count nor the join computes it again.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+    kept = materialised(df, "bounded")
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
