@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm.common import documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
+from tallyfield.llm.sharding import shard_documents
+from tallyfield.llm.url_filters import judge_urls, urls_sql
+from tallyfield.sources.tables import table
+
+
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"))
+
+
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(documents(spark, folder))
 
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,9 +24,12 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op4_sharding": op4_sharding,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES = {
+    "op1_url_filters": urls_sql(),
     "op9_quality_rules": QUALITY_SQL,
 }
