@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm.common import documents
+from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
 from tallyfield.llm.sharding import shard_documents
 from tallyfield.llm.url_filters import judge_urls, urls_sql
+from tallyfield.llm.word_bpe import encoded
 from tallyfield.sources.tables import table
 
 
@@ -15,6 +17,10 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(documents(spark, folder))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
@@ -23,10 +29,16 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(documents(spark, folder))
 
 
+def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded(documents(spark, folder), with_ids=False)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op9_quality_rules": op9_quality_rules,
+    "op10_word_bpe": op10_word_bpe,
 }
 
 ORACLES = {
