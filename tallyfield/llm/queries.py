@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm.common import documents
+from tallyfield.llm.minhash_dedup import near_duplicates
 from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
 from tallyfield.llm.sharding import shard_documents
@@ -25,6 +26,10 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
 
+def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), words=2)
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(documents(spark, folder))
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
 }
