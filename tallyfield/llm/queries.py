@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm.common import documents
+from tallyfield.llm.embedding_dedup import LINKS_SQL, link_embeddings
 from tallyfield.llm.minhash_dedup import near_duplicates
 from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
@@ -18,6 +19,10 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"))
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return link_embeddings(table(spark, folder, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder))
 
@@ -40,6 +45,7 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_minhash_dedup": op5_minhash_dedup,
@@ -49,5 +55,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filters": urls_sql(),
+    "op2_embedding_dedup": LINKS_SQL,
     "op9_quality_rules": QUALITY_SQL,
 }
