@@ -14,6 +14,7 @@ part.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +30,11 @@ from tallyfield.session import materialised
 WINDOW = 2048
 END_TOKEN = 1
 GROUP_PIECES = 8192
+MARK = "\x01"
 
 
 class LibraryWords(WordBpe):
-    """The same cache of words, filled by the tokenizers library."""
+    """The same cache of words and pieces, filled by the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,11 +43,25 @@ class LibraryWords(WordBpe):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = {}
-
-    def learn(self, words: list[str]) -> None:
-        found = self.library.encode_batch_fast(words, add_special_tokens=False)
-        self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, found, strict=True))
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = {t: self.library.token_to_id(t) for t in special}
+        self.special_at = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.words, self.pieces = {}, {}
+        (self.mark,) = self.library.encode(MARK, add_special_tokens=False).ids
+
+    def encode_new(self, pieces: list[str]) -> list[bytes]:
+        """Many pieces in one call, with a control character between them, which is a token of its own."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 1000):
+            joined = f" {MARK} ".join(pieces[at : at + 1000])
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            raw = ids.tobytes()
+            out += [raw[4 * (i + 1) : 4 * j] for i, j in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
+        return out
+
+    def encode_odd(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
-MAX_WORDS = 500_000
+MAX_WORDS = 800_000
 END = "</w>"
 
 # Characters whose lower case and composed form are the same in every library: ASCII and the letters of Latin-1.
@@ -173,8 +173,21 @@ class WordBpe:
             out.append(t)
             i = j
 
-    def encode_pieces(self, new: list[str]) -> None:
-        """Encode pieces (in the byte alphabet) that are not known yet."""
+    def encode_new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of lower-case pieces that are not known yet."""
+        return self.verified([self.byte_text(p) for p in pieces])
+
+    def encode_odd(self, text: str) -> bytes:
+        """Ids of a text with unusual characters, split by the tokenizer file's own rules."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        normal = self._library.normalizer.normalize_str(text)
+        return b"".join(self.verified([p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]))
+
+    def verified(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces in the byte alphabet: guesses where all borders hold, merged step by step elsewhere."""
         guesses = [self.guess(p) for p in new]
         sizes = np.fromiter(map(len, guesses), np.int64, len(guesses))
         flat = np.fromiter((t for g in guesses for t in g), np.int64, int(sizes.sum()))
@@ -182,59 +195,47 @@ class WordBpe:
         inner = np.flatnonzero(word[1:] == word[:-1])
         keys, back = np.unique(flat[inner] * self.n + flat[inner + 1], return_inverse=True)
         known = self.pair_ok
-        open_ = [k for k in keys.tolist() if k not in known]
-        if open_:
+        if len(known) > 4 * MAX_WORDS:
+            known.clear()
+        if open_ := [k for k in keys.tolist() if k not in known]:
             arr = np.array(open_, np.int64)
             known.update(zip(open_, self.borders_ok(arr // self.n, arr % self.n).tolist(), strict=True))
         good = np.fromiter((known[k] for k in keys.tolist()), bool, len(keys))
         failed = np.zeros(len(new), bool)
         failed[word[inner][~good[back]]] = True
-        for i, p in enumerate(new):
-            tokens = self.merge(self.symbols(p)) if failed[i] else guesses[i]
-            self.pieces[p] = np.array(tokens, "<u4").tobytes()
-        if len(known) > 4 * MAX_WORDS:
-            known.clear()
-
-    def split_odd(self, word: str) -> list[str]:
-        """Pieces of a word with unusual characters, by the tokenizer file's own rules."""
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-        normal = self._library.normalizer.normalize_str(word)
-        return [p for p, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+        for i in np.flatnonzero(failed).tolist():
+            guesses[i] = self.merge(self.symbols(new[i]))
+        return [np.array(g, "<u4").tobytes() for g in guesses]
 
     def byte_text(self, text: str) -> str:
         return text if text.isascii() else "".join([self.alphabet[b] for b in text.encode()])
 
     def learn(self, words: list[str]) -> None:
         """Encode words between white space that are not known yet."""
-        plain, parts = [], {}
+        plain = []
         for w in words:
             if self.special_at is not None and "<|" in w and self.special_at.search(w):
-                parts[w] = [self.special.get(x) if x in self.special else self.split_odd(x) for x in self.special_at.split(w) if x]
+                parts = [np.array([self.special[x]], "<u4").tobytes() if x in self.special else self.encode_odd(x) for x in self.special_at.split(w) if x]
+                self.words[w] = b"".join(parts)
             elif PLAIN.fullmatch(w):
                 plain.append(w)
             else:
-                parts[w] = [self.split_odd(w)]
+                self.words[w] = self.encode_odd(w)
+        if not plain:
+            return
         split: list[list[str]] = [[]]
         for p in PIECE.findall("\n".join(plain).lower()):
             if p == "\n":
                 split.append([])
             else:
-                split[-1].append(self.byte_text(p))
-        needed = {p for pieces in split for p in pieces} | {p for found in parts.values() for x in found if isinstance(x, list) for p in x}
+                split[-1].append(p)
         known = self.pieces
         if len(known) > MAX_WORDS:
             known.clear()
-        if new := [p for p in needed if p not in known]:
-            self.encode_pieces(new)
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
+        new = list({p for pieces in split for p in pieces if p not in known})
+        known.update(zip(new, self.encode_new(new), strict=True))
         get = known.__getitem__
-        self.words.update((w, b"".join(map(get, pieces))) for w, pieces in zip(plain, split, strict=False))
-        for w, found in parts.items():
-            self.words[w] = b"".join(b"".join(map(get, x)) if isinstance(x, list) else np.array([x], "<u4").tobytes() for x in found)
+        self.words.update((w, b"".join(map(get, pieces))) for w, pieces in zip(plain, split, strict=True))
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers, in order."""
