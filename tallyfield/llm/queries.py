@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm.common import documents
 from tallyfield.llm.embedding_dedup import LINKS_SQL, link_embeddings
+from tallyfield.llm.language_id import identify
 from tallyfield.llm.minhash_dedup import near_duplicates
 from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
@@ -35,6 +36,10 @@ def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), words=2)
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(documents(spark, folder))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(documents(spark, folder))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
 }
