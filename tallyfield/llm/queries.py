@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyfield.llm.common import documents
 from tallyfield.llm.embedding_dedup import LINKS_SQL, link_embeddings
 from tallyfield.llm.language_id import identify
+from tallyfield.llm.license_scan import scan_licenses
 from tallyfield.llm.minhash_dedup import near_duplicates
 from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
@@ -40,6 +41,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents(spark, folder))
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(documents(spark, folder)).drop("spans")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_report(documents(spark, folder))
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_id": op6_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
 }
