@@ -237,17 +237,35 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = None if model is None else RunScores(model)
         for batch in batches:
-            bodies = batch.column(2)
-            langs, best = [], []
-            for at in range(0, len(bodies), 256):
-                texts = bodies.slice(at, 256).to_pylist()
-                total = np.zeros((len(texts), 2)) if scores is None else scores.score(texts)
-                top = total[:, :-1].argmax(axis=1)
-                for i, k in enumerate(top.tolist()):
-                    some = total[i, -1] > 0
-                    langs.append(model.languages[k] if some else UNKNOWN)
-                    best.append(min(1.0, total[i, k] / total[i, -1]) if some else 0.0)
+            langs, best = predicted(scores, batch.column(2))
             columns = [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(best, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def predicted(scores: RunScores | None, bodies: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text, a few hundred texts at a time."""
+    langs, best = [], []
+    for at in range(0, len(bodies), 256):
+        texts = bodies.slice(at, 256).to_pylist()
+        total = np.zeros((len(texts), 2)) if scores is None else scores.score(texts)
+        for i, k in enumerate(total[:, :-1].argmax(axis=1).tolist()):
+            some = total[i, -1] > 0
+            langs.append(scores.model.languages[k] if some else UNKNOWN)
+            best.append(min(1.0, total[i, k] / total[i, -1]) if some else 0.0)
+    return langs, best
+
+
+def accepted(docs: DataFrame, min_score: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows, all columns as they are, whose language is known with at least `min_score`."""
+    model = fit(docs, doc_id, text, lang)
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = None if model is None else RunScores(model)
+        for batch in batches:
+            langs, best = predicted(scores, batch.column(at))
+            yield batch.filter(pa.array([g != UNKNOWN and s >= min_score for g, s in zip(langs, best, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -251,3 +251,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.coalesce("component", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all columns as they are.
+
+    Of several rows with one id that stays, the one with the smallest text hash is kept; rows without an id all stay.
+    """
+    found = near_duplicates(docs, doc_id, text, words, percent)
+    ids = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = row.where(F.col(f"row.`{doc_id}`").isNotNull()).join(ids, F.col(f"row.`{doc_id}`").cast("long") == F.col("__kept_id"))
+    one = Window.partitionBy("__kept_id").orderBy(F.xxhash64(F.col(f"row.`{text}`")))
+    named = named.withColumn("n", F.row_number().over(one)).where("n = 1").select("row")
+    return named.union(row.where(F.col(f"row.`{doc_id}`").isNull())).select("row.*")

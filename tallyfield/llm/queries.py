@@ -12,6 +12,7 @@ from tallyfield.llm.minhash_dedup import near_duplicates
 from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
 from tallyfield.llm.sharding import shard_documents
+from tallyfield.llm.token_rollups import ROLLUP_SQL, corpus_rollup
 from tallyfield.llm.url_filters import judge_urls, urls_sql
 from tallyfield.llm.word_bpe import encoded
 from tallyfield.sources.tables import table
@@ -41,6 +42,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents(spark, folder))
 
 
+def op7_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_rollup(documents(spark, folder))
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(documents(spark, folder)).drop("spans")
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_id": op6_language_id,
+    "op7_token_rollups": op7_token_rollups,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
@@ -68,5 +74,6 @@ QUERIES = {
 ORACLES = {
     "op1_url_filters": urls_sql(),
     "op2_embedding_dedup": LINKS_SQL,
+    "op7_token_rollups": ROLLUP_SQL,
     "op9_quality_rules": QUALITY_SQL,
 }
