@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfield.llm.common import documents
 from tallyfield.llm.language_id import accepted
@@ -14,7 +15,7 @@ from tallyfield.session import materialised
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that fail."""
-    return clean_documents(docs)
+    return clean_documents(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
