@@ -38,6 +38,7 @@ COMPONENTS = ORDERS * MIN_DEPTH
 MAX_WORDS = 500_000
 SLACK = 0.16  # about four standard deviations of the estimate from COMPONENTS values
 TESTS_PER_ROUND = (1, 4)
+BROADCAST_IDS = 2_000_000  # 16 MB of ids
 
 _RANDOM = np.random.default_rng(20240229)
 _A = (_RANDOM.integers(0, 1 << 32, COMPONENTS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -186,7 +187,10 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, wor
             found = [shingle_set(body, words).tobytes() for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "members"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body")).join(wanted, "node", "left_semi")
+    # Up to a counted size the ids go to the texts; beyond it the texts are shuffled to the ids.
+    wanted = materialised(wanted, "wanted")
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body")).join(near, "node", "left_semi")
     return rows.mapInArrow(sets, "node long, members binary")
 
 
