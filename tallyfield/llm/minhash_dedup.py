@@ -195,7 +195,7 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, wor
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
+    """Components of the pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +205,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["component_a", "component_b"])
 
-    return _two_sides(pairs, sets, "members").select("a", "b", "members_a", "members_b").mapInArrow(confirm, "a long, b long")
+    both = _two_sides(pairs, sets, "members").select("component_a", "component_b", "members_a", "members_b")
+    return both.mapInArrow(confirm, "component_a long, component_b long")
 
 
 def linked_components(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -216,25 +217,27 @@ def linked_components(candidates: DataFrame, sets: DataFrame, percent: int) -> D
     `candidates` has `a`, `b`, `same`. Round after round, the pairs that still join two components are tested, the best
     ones of each component first, all of them in the end.
     """
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    labels = materialised(ends.select("node", F.col("node").alias("component")), "labels")
-    left = candidates
+    labels = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    labels = labels.select("node", F.col("node").alias("component"))
+    crossing = candidates.select("a", "b", "same", F.col("a").alias("component_a"), F.col("b").alias("component_b"))
     for tests in (*TESTS_PER_ROUND, None):
-        crossing = materialised(_two_sides(left, labels, "component").where("component_a <> component_b").select("a", "b", "same", "component_a", "component_b"), "crossing")
-        if crossing.isEmpty():
-            break
-        chosen, left = crossing, None
+        chosen = crossing
         if tests is not None:
-            sides = [crossing.select("a", "b", "same", F.col(f"component_{e}").alias("component")) for e in ("a", "b")]
+            sides = [crossing.select("a", "b", "component_a", "component_b", "same", F.col(f"component_{e}").alias("component")) for e in ("a", "b")]
             best = Window.partitionBy("component").orderBy(F.desc("same"), "a", "b")
             ranked = sides[0].union(sides[1]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= tests)
-            chosen = materialised(ranked.select("a", "b").distinct(), "chosen")
-            left = crossing.select("a", "b", "same").join(chosen, ["a", "b"], "left_anti")
-        links = _two_sides(confirmed(chosen.select("a", "b"), sets, percent), labels, "component")
-        merged = materialised(connected_components(links, "component_a", "component_b"), "merged")
+            chosen = materialised(ranked.select("a", "b", "component_a", "component_b").distinct(), "chosen")
+        links = confirmed(chosen, sets, percent)
+        merged = connected_components(links, "component_a", "component_b")
         over = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        labels = materialised(labels.join(over, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
-        if left is None:
+        labels = labels.join(over, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        labels = materialised(labels, "labels")
+        if tests is None:
+            break
+        left = crossing.select("a", "b", "same").join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        left = _two_sides(left, labels, "component").where("component_a <> component_b")
+        crossing = materialised(left.select("a", "b", "same", "component_a", "component_b"), "crossing")
+        if crossing.isEmpty():
             break
     return labels
 
