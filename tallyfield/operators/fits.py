@@ -40,10 +40,23 @@ def standardised(value: str, keys: list[str]) -> Column:
 
 def _two_sided_p(t: float, df: int) -> float:
     """Tail of Student's t through the angle substitution t = sqrt(df) tan(a)."""
-    angle = np.linspace(0.0, np.pi / 2, 4001)
-    density = np.cos(angle) ** (df - 1)
-    tail = np.where(angle >= np.arctan(abs(t) / np.sqrt(df)), density, 0.0)
-    return float(np.trapezoid(tail, angle) / np.trapezoid(density, angle))
+
+
+    def above(start: float) -> float:
+        angle = np.linspace(start, np.pi / 2, 20_001)
+        return float(np.trapezoid(np.cos(angle) ** (df - 1), angle))
+
+    return above(float(np.arctan(abs(t) / np.sqrt(df)))) / above(0.0)
+
+
+def _relative_offset(slope: np.ndarray, residual: np.ndarray) -> float:
+    """Size of the residual's part in the tangent plane against the part across it: zero at a least-squares fit."""
+    basis, _ = np.linalg.qr(slope)
+    along = basis.T @ residual
+    across = residual - basis @ along
+    n, k = slope.shape
+    scale = float(across @ across) / (n - k)
+    return float(np.sqrt((along @ along) / k / scale)) if scale > 1e-24 else float(np.sqrt(along @ along))
 
 
 def _start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -57,8 +70,13 @@ def _start(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array([height[best], shape[best], rate[best]])
 
 
-def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
-    """Estimates, standard errors and residual deviation of Asym * exp(-b2 * b3 ** x); raises ValueError on failure."""
+def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 5_000) -> tuple[np.ndarray, np.ndarray, float]:
+    """Estimates, standard errors and residual deviation of Asym * exp(-b2 * b3 ** x); raises ValueError on failure.
+
+    The iteration has settled when the residual is orthogonal to the tangent plane, or when full steps neither move the
+    estimates nor lower the loss. Failures are told apart: no step lowers the loss any more, the gradient is singular
+    (the data fix no curve, as when one parameter runs off), or `rounds` steps did not do.
+    """
     n = len(x)
     if n < 4 or len(np.unique(x)) < 4:
         raise ValueError("too few distinct points")
@@ -87,18 +105,21 @@ def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.nd
             next_fitted, next_slope = model(theta + step)
             next_loss = float(((v - next_fitted) ** 2).sum())
         if np.isfinite(next_loss) and next_loss <= loss:
-            # A tiny gain means convergence only while the step is close to an undamped one.
+            # A tiny gain counts as settled only while the step is close to an undamped one.
             small = np.max(np.abs(step) / (np.abs(theta) + 1e-8)) < 1e-8 or (loss - next_loss <= 1e-10 * loss and damping <= 1)
             theta, fitted, slope, loss, damping = theta + step, next_fitted, next_slope, next_loss, damping / 10
-            if small:
+            if small or _relative_offset(slope, v - fitted) < 1e-6:
                 converged = True
                 break
         else:
             damping *= 10
             if damping > 1e12:
-                break
+                if _relative_offset(slope, v - fitted) < 1e-4:
+                    converged = True
+                    break
+                raise ValueError("no step lowers the loss")
     if not converged:
-        raise ValueError("no convergence")
+        raise ValueError(f"not settled after {rounds} steps")
     normal = slope.T @ slope
     if not np.all(np.isfinite(normal)) or np.linalg.cond(normal) > 1e14:
         raise ValueError("singular gradient")
@@ -109,11 +130,11 @@ def gompertz_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.nd
     return estimates, errors * np.array([scale_y, 1.0, base / scale_x]), float(sigma * scale_y)
 
 
-def _fit_site(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _fit_site(key: tuple, rows: pd.DataFrame, rounds: int) -> pd.DataFrame:
     points = rows.dropna()
     n = len(points)
     try:
-        estimates, errors, residual = gompertz_fit(points["x"].to_numpy(float), points["y"].to_numpy(float))
+        estimates, errors, residual = gompertz_fit(points["x"].to_numpy(float), points["y"].to_numpy(float), rounds)
     except ValueError as failure:
         return pd.DataFrame([(key[0], "failed", str(failure), n, *[None] * 6)], columns=_COLUMNS, dtype=object)
     with np.errstate(divide="ignore"):
@@ -128,9 +149,18 @@ def _fit_site(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 _COLUMNS = [part.split()[0] for part in GOMPERTZ_SCHEMA.split(", ")]
 
 
-def gompertz_fits(panel: DataFrame, y: str = "downloads", x: str = "cum_uploads", excluded: Iterable = ()) -> DataFrame:
-    """One row per site and term; a site whose fit fails keeps one row with the reason."""
+def gompertz_fits(
+    panel: DataFrame, y: str = "downloads", x: str = "cum_uploads", excluded: Iterable = (), rounds: int = 5_000
+) -> DataFrame:
+    """One row per site and term; a site whose fit fails keeps one row with the reason.
+
+    `rounds` bounds the steps of one fit; a fit that needs more says so in its message.
+    """
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _fit_site(key, rows, rounds)
+
     rows = panel.where(not_listed(F.col("site_key"), excluded)).select(
         "site_key", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    return spread(rows, "site_key").groupBy("site_key").applyInPandas(_fit_site, GOMPERTZ_SCHEMA)
+    return spread(rows, "site_key").groupBy("site_key").applyInPandas(fit, GOMPERTZ_SCHEMA)

@@ -1,4 +1,4 @@
-"""Equi-joins with the source scripts' NULL rule, spines, and size-checked broadcasts."""
+"""Equi-joins with the source scripts' NULL rule, and spines."""
 
 from __future__ import annotations
 
@@ -7,20 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.session import materialised
-
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; a larger frame comes back unhinted and joins by shuffle.
-
-    Meant for aggregates: the frame is written once, so neither the count nor the join computes it again.
-    """
-    kept = materialised(df, "bounded")
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys into twice the session's number of partitions.
 

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators.joins import broadcast_within, null_safe_join
+from tallyfield.operators.joins import null_safe_join
+from tallyfield.session import materialised
 
 SLICE_ROWS = 1_000_000
 
@@ -68,13 +69,18 @@ def ledger_running_total(
 ) -> DataFrame:
     """Running sum over ledger rows in (day, row id) order, missing from the first missing value on.
 
-    `row_id` has to be a unique integer: a slice of `slice_rows` consecutive ids then bounds every window group, even
-    when one entity holds most rows on one day. Three levels add up: rows before in the slice, slices before in the
-    day, days before in the entity. Only the first level moves full rows, and it moves them once.
+    `row_id` has to be a unique integer. The range of ids is cut into as many slices as the table has `slice_rows`, so
+    sparse ids (hashes, times) are sliced like dense ones, and a slice bounds every window group even when one entity
+    holds most rows on one day. Three levels add up: rows before in the slice, slices before in the day, days before in
+    the entity. Only the first level moves full rows, and it moves them once.
     """
+    low, high, n = df.agg(F.min(row_id), F.max(row_id), F.count(row_id)).first()
+    width = 1.0 if not n else max(1.0, (high - low + 1) / -(-n // slice_rows))
+    # Rounding keeps the order of ids, so slices are in order as well.
+    part = F.floor((F.col(row_id).cast("double") - F.lit(float(low or 0))) / F.lit(width))
     # A struct is never NULL itself and equals another one field by field, NULLs included. Grouping, windows and the
     # join therefore agree on one key, and the join finds the rows already partitioned by it.
-    rows = df.withColumn("__slice", F.struct(*keys, day, F.floor(F.col(row_id) / F.lit(slice_rows)).alias("__part")))
+    rows = df.withColumn("__slice", F.struct(*keys, day, part.alias("__part")))
     missing = F.count_if(F.col(value).isNull())
     slices = (
         rows.groupBy("__slice")
@@ -122,7 +128,7 @@ def grain_counts(df: DataFrame, date: str, names: tuple[str, str, str]) -> DataF
     """Row counts of the day, month and year of every row.
 
     The three counts come from one daily count table, which the calendar bounds; rows are joined to it by day instead
-    of being gathered per year.
+    of being gathered per year. The table is written first, so the join is planned by its real size.
     """
     daily_name, monthly_name, yearly_name = names
     daily = df.groupBy(F.col(date).alias("__day")).agg(F.count(F.lit(1)).alias(daily_name))
@@ -133,10 +139,10 @@ def grain_counts(df: DataFrame, date: str, names: tuple[str, str, str]) -> DataF
         F.sum(daily_name).over(Window.partitionBy(year, month)).alias(monthly_name),
         F.sum(daily_name).over(Window.partitionBy(year)).alias(yearly_name),
     )
-    return null_safe_join(df, broadcast_within(counts), [date])
+    return null_safe_join(df, materialised(counts, "counts"), [date])
 
 
 def group_mean_on_rows(df: DataFrame, value: Column, keys: Sequence[str], out: str) -> DataFrame:
     """Put an aggregate of the group on each of its rows by a join, not by gathering the group."""
     means = df.groupBy(*keys).agg(value.alias(out))
-    return null_safe_join(df, broadcast_within(means), keys)
+    return null_safe_join(df, materialised(means, "means"), keys)

@@ -44,7 +44,7 @@ def ranked_frequencies(freq: DataFrame, by: Sequence[str] = (), ranges: int | No
     `freq` is read three times, so hand in a materialised table.
     """
     if ranges is None:
-        ranges = max(8, min(1000, int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        ranges = max(8, int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # One struct key serves the window and the join: NULL groups stay groups, and the values are shuffled once.
     cut = _ranges(freq, ranges).withColumn("__cell", F.struct(*by, "__range"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)

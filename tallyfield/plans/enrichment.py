@@ -15,9 +15,13 @@ def countries(addresses: DataFrame) -> DataFrame:
 
 
 def country_list(customers: DataFrame, addresses: DataFrame, name: str, required: str) -> DataFrame:
-    """Country of every distinct name whose `required` column is filled; a name without an answer keeps NULL."""
+    """Country of every distinct name whose `required` column is filled; a name without an answer keeps NULL.
+
+    A name that was looked up more than once takes the alphabetically first country found.
+    """
     names = customers.where(F.col(required).isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("university"))
-    return null_safe_join(names.distinct(), countries(addresses), ["university"])
+    found = countries(addresses).groupBy("university").agg(F.min("country").alias("country"))
+    return null_safe_join(names.distinct(), found, ["university"])
 
 
 def listed_hosts(lines: DataFrame, parts: str = "parts") -> DataFrame:

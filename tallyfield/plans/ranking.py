@@ -34,6 +34,7 @@ RENAMED = {
 def load_rankings(documents: DataFrame, history: DataFrame) -> DataFrame:
     """Landed ranking rows cleaned, typed, renamed and stacked on the finished history."""
     scored = documents.select(*RENAMED).withColumn("scores_overall", range_midpoint(F.col("scores_overall")))
+    scored = materialised(scored, "scored")  # typing reads it twice: once to profile, once to convert
     typed = type_numbers(scored, keep=("name", "location")).withColumn("rank_order", F.col("rank_order") / 10)
     recent = typed.select(*[F.col(old).alias(new) for old, new in RENAMED.items()])
     earlier = history.withColumn("total_score", parse_number(F.col("total_score")))
@@ -135,3 +136,40 @@ def donor_pool(
     scores = materialised(free.select("year", "name", "total_score"), "donors")
     complete = scores.groupBy("name").agg(F.count_distinct("year").alias("years")).where(F.col("years") == last - first + 1)
     return null_safe_join(scores, complete.select("name"), ["name"], "left_semi")
+
+
+def complete_entities(scores: DataFrame, entity: str, period: str, value: str) -> DataFrame:
+    """Entities with a value in every period of the table and no row without one: (entity, years, mean).
+
+    `years` counts distinct periods, so repeated rows of one period cannot stand in for a missing period.
+    """
+    periods = scores.agg(F.count_distinct(period))
+    per = scores.groupBy(entity).agg(
+        F.count_distinct(F.when(F.col(value).isNotNull(), F.col(period))).alias("years"),
+        F.count_if(F.col(value).isNull()).alias("__missing"),
+        F.avg(value).alias("mean"),
+    )
+    return per.where((F.col("years") == periods.scalar()) & (F.col("__missing") == 0)).drop("__missing")
+
+
+def donor_pairs(rankings: DataFrame, donors: DataFrame) -> DataFrame:
+    """Yearly series of every ranked entity that is no donor, with the donors' mean as its control.
+
+    (pair, date, test, control, donors): the date is the first of January, an entity's repeated scores of a year are
+    averaged, and so are a donor's before the donors are. The control side has one row per year.
+    """
+    yearly = keyed(rankings, "university_name").where(F.col("total_score").isNotNull())
+    tests = yearly.groupBy("name", "year").agg(F.avg("total_score").alias("test"))
+    tests = tests.join(donors.select("name").distinct(), "name", "left_anti")
+    each = donors.groupBy("name", "year").agg(F.avg("total_score").alias("score"))
+    control = each.groupBy("year").agg(F.avg("score").alias("control"), F.count(F.lit(1)).alias("donors"))
+    day = F.make_date(F.col("year").cast("int"), F.lit(1), F.lit(1))
+    return tests.join(control, "year").select(F.col("name").alias("pair"), day.alias("date"), "test", "control", "donors")
+
+
+def subscription_periods(subscriptions: DataFrame) -> DataFrame:
+    """(pair, pre_end, post_start) per entity: the years before its first renewal, and from then on."""
+    renewed = keyed(subscriptions, "parent_account").where((F.col("decision") == 1) & F.col("year").isNotNull() & F.col("name").isNotNull())
+    first = renewed.groupBy(F.col("name").alias("pair")).agg(F.min("year").cast("int").alias("first"))
+    start = lambda year: F.make_date(year, F.lit(1), F.lit(1))
+    return first.select("pair", start(F.col("first") - 1).alias("pre_end"), start(F.col("first")).alias("post_start"))

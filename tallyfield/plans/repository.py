@@ -45,11 +45,12 @@ def daily_uploads(uploads: DataFrame) -> DataFrame:
 
 
 def daily_panel(uploads: DataFrame, downloads: DataFrame, start: str, excluded: Iterable = EXCLUDED_DAILY) -> DataFrame:
-    """Daily downloads with the total content of their day, gaps repaired."""
+    """Daily downloads from `start` on with the total content of their day, gaps repaired."""
+    first = F.lit(start).cast("date")
     recent = daily_uploads(uploads.where(F.col("site_key").isNotNull() & not_listed(F.col("site_key"), excluded))).where(
-        F.col("date") >= F.lit(start).cast("date")
+        F.col("date") >= first
     )
-    joined = null_safe_join(downloads, recent, ["site_key", "date"]).fillna(0, ["uploads"])
+    joined = null_safe_join(downloads.where(F.col("date") >= first), recent, ["site_key", "date"]).fillna(0, ["uploads"])
     return repair_cumulative(joined, "ttl_uploads", "uploads", ["site_key"], ["date"])
 
 
@@ -181,13 +182,10 @@ def sites_without_uploads(panel: DataFrame, form: str = "zero") -> DataFrame:
     )
 
 
-def sites_by_uploads(panel: DataFrame) -> DataFrame:
-    """Sites in ascending order of their smallest monthly upload."""
-    return (
-        panel.groupBy("site_key")
-        .agg(F.min("ttl_uploads").alias("least_uploads"))
-        .orderBy(F.asc_nulls_last("least_uploads"), F.asc_nulls_last("site_key"))
-    )
+def sites_by_uploads(panel: DataFrame, ordered: bool = True) -> DataFrame:
+    """Sites with their smallest monthly upload, in ascending order unless the caller goes on with the rows."""
+    least = panel.groupBy("site_key").agg(F.min("ttl_uploads").alias("least_uploads"))
+    return least.orderBy(F.asc_nulls_last("least_uploads"), F.asc_nulls_last("site_key")) if ordered else least
 
 
 def metric_table(panel: DataFrame, segments: DataFrame, first: str, last: str, sites: Iterable | None = None) -> DataFrame:

@@ -60,8 +60,11 @@ def subscription_history(
     return renewal_history(renewals, asset, slice_rows).unionByName(cancellation_history(cancellations, asset, since))
 
 
-def activity_timeline(ledger: DataFrame, asset: str, decision: int) -> DataFrame:
-    """Events of one asset with the number of events on their day, in their month and in their year, by date."""
+def activity_timeline(ledger: DataFrame, asset: str, decision: int, ordered: bool = True) -> DataFrame:
+    """Events of one asset with the number of events on their day, in their month and in their year.
+
+    Rows are sorted by date unless the caller goes on with them, as a union would drop the order.
+    """
     rows = ledger.where(F.col("asset_name") == asset).select(
         "row_id",
         "event_date",
@@ -70,4 +73,5 @@ def activity_timeline(ledger: DataFrame, asset: str, decision: int) -> DataFrame
         F.month("event_date").alias("event_month"),
     )
     counted = grain_counts(rows, "event_date", ("daily_count", "monthly_count", "yearly_count"))
-    return counted.withColumn("decision", F.lit(decision)).orderBy(F.asc_nulls_last("event_date"), "row_id")
+    marked = counted.withColumn("decision", F.lit(decision))
+    return marked.orderBy(F.asc_nulls_last("event_date"), "row_id") if ordered else marked

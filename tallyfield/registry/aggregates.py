@@ -157,18 +157,17 @@ def d15(spark, folder):
 
 
 @query("d16_log_density", """
-WITH logs AS (SELECT repo_group, log10(ttl_uploads) AS v FROM labelled WHERE ttl_uploads > 0),
+WITH logs AS (SELECT repo_group, log10(ttl_uploads) AS v FROM labelled WHERE ttl_uploads > 0 AND date = DATE '2001-01-05'),
 e AS (SELECT min(v) AS low, (max(v) - min(v)) / 63 AS step FROM logs),
-placed AS (SELECT repo_group, least(floor((v - low) / step), 62) AS cell, (v - low) / step AS spot FROM logs, e),
-shares AS (SELECT repo_group, cell AS c, sum(1 - (spot - cell)) AS w FROM placed GROUP BY ALL UNION ALL SELECT repo_group, cell + 1, sum(spot - cell) FROM placed GROUP BY ALL),
 size AS (SELECT repo_group, n, 0.9 * CASE WHEN iqr > 0 THEN least(sd, iqr) ELSE sd END * pow(n, -0.2) AS h FROM (
   SELECT repo_group, count(*) AS n, stddev_samp(v) AS sd, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 AS iqr FROM logs GROUP BY repo_group))
-SELECT repo_group, CAST(g.cell AS INTEGER) AS cell, round(low + g.cell * step, 6) AS x,
-  round(sum(w * exp(-0.5 * pow((g.cell - c) * step / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 6) AS density
-FROM shares JOIN size USING (repo_group), e, (SELECT unnest(range(0, 64)) AS cell) g GROUP BY repo_group, g.cell, low, step
+SELECT repo_group, CAST(cell AS INTEGER) AS cell, round(low + cell * step, 6) AS x,
+  round(sum(exp(-0.5 * pow((low + cell * step - v) / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
+FROM logs JOIN size USING (repo_group), e, (SELECT unnest(range(0, 64)) AS cell) g WHERE h > 0 GROUP BY repo_group, cell, low, step, n, h
 """, "labelled")
 def d16(spark, folder):
-    return rounded(log_density(labelled(spark, folder), "repo_group", "ttl_uploads"))
+    on_day = labelled(spark, folder).where(F.col("date") == F.lit(SNAPSHOT).cast("date"))
+    return rounded(log_density(on_day, "repo_group", "ttl_uploads"))
 
 
 @query("d17_segment_ratios", """

@@ -22,7 +22,7 @@ from tallyfield.operators.fits import standardised
 from tallyfield.operators.joins import null_safe_join
 from tallyfield.operators.typing import type_dates, type_numbers
 from tallyfield.plans.enrichment import listed_hosts
-from tallyfield.plans.ranking import RENAMED
+from tallyfield.plans.ranking import RENAMED, complete_entities
 from tallyfield.plans.repository import monthly_panel
 from tallyfield.registry.core import query
 from tallyfield.session import work_path
@@ -49,19 +49,30 @@ def a1(spark, folder):
     return files.read_csv(spark, path, schema)
 
 
-@query("a2_ranking_payload", "SELECT name, location, year, rank_order, scores_overall, stats_female_male_ratio FROM payload", "payload")
+def payload_documents(spark, folder):
+    """Landed documents of at most a hundred entities each, so that no document grows with the table."""
+    entry = F.struct(*[c.split()[0] for c in tables.PAYLOAD_ROW.split(", ")])
+    parts = tables.payload(spark, folder).groupBy("year", F.floor(F.col("entry_id") / 100).alias("part"))
+    return parts.agg(F.collect_list(entry).alias("data")).select("data")
+
+
+_PAYLOAD_SQL = "SELECT name, location, year, rank_order, scores_overall, stats_female_male_ratio FROM payload"
+_PAYLOAD_COLUMNS = ("name", "location", "year", "rank_order", "scores_overall", "stats_female_male_ratio")
+
+
+@query("a2_ranking_payload", _PAYLOAD_SQL, "payload")
 def a2(spark, folder):
     path = work_path(spark, "payload-json")
-    entry = F.struct(*[c.split()[0] for c in tables.PAYLOAD_ROW.split(", ")])
-    # Documents of at most a hundred entities each, so that no document grows with the table.
-    documents = (
-        tables.payload(spark, folder)
-        .groupBy("year", F.floor(F.col("entry_id") / 100).alias("part"))
-        .agg(F.collect_list(entry).alias("data"))
-    )
-    files.write_json(documents.select("data"), path)
-    landed = files.read_ranking_payload(spark, path, tables.PAYLOAD_ROW, multi_line=False)
-    return landed.select("name", "location", "year", "rank_order", "scores_overall", "stats_female_male_ratio")
+    files.write_json(payload_documents(spark, folder), path)
+    return files.read_ranking_payload(spark, path, tables.PAYLOAD_ROW, multi_line=False).select(*_PAYLOAD_COLUMNS)
+
+
+@query("a2_payload_per_file", _PAYLOAD_SQL, "payload")
+def a2_files(spark, folder):
+    """One document per file, as the source lands them."""
+    path = work_path(spark, "payload-files")
+    payload_documents(spark, folder).write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_ranking_payload(spark, path, tables.PAYLOAD_ROW).select(*_PAYLOAD_COLUMNS)
 
 
 @query("a3_field_lines", """
@@ -281,12 +292,12 @@ def b17(spark, folder):
 SELECT h.page_id, h.host, CAST(NULL AS VARCHAR) AS institution, regexp_replace(h.host, '^([a-z]+)\.(.*)$', '\2.\1') AS swapped
 FROM hosts h
 UNION ALL
-SELECT doc_id, NULL, nullif(regexp_extract('State University of ' || lang || ' at ' || source, '([a-zA-Z_]+?)\sUniversity of\s([a-zA-Z_\s]+)'), ''), NULL FROM documents
+SELECT doc_id, NULL, nullif(regexp_extract(text || chr(10) || 'State University of ' || lang, '([a-zA-Z_]+?)\sUniversity of\s([a-zA-Z_\s]+)'), ''), NULL FROM documents
 """, "hosts")
 def b18(spark, folder):
     hosts = listed_hosts(tables.table(spark, folder, "pages").select("page_id", split_fields(F.col("url")).alias("parts")))
     found = hosts.select("page_id", "host", F.lit(None).cast("string").alias("institution"), F.regexp_replace("host", r"^([a-z]+)\.(.*)$", "$2.$1").alias("swapped"))
-    sentence = F.concat(F.lit("State University of "), F.col("lang"), F.lit(" at "), F.col("source"))
+    sentence = F.concat(F.col("text"), F.lit("\nState University of "), F.col("lang"))
     named = tables.table(spark, folder, "documents").select(
         F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("host"), named_institution(sentence).alias("institution"), F.lit(None).cast("string").alias("swapped")
     )
@@ -324,15 +335,11 @@ def b22(spark, folder):
 
 
 @query("b23_complete_columns", """
-SELECT university_name, CAST(count(*) AS BIGINT) AS years, round(avg(total_score), 6) AS mean_score FROM times GROUP BY 1
-HAVING count(total_score) = (SELECT count(DISTINCT year) FROM times)
+SELECT university_name, CAST(count(DISTINCT year) AS BIGINT) AS years, round(avg(total_score), 6) AS mean_score FROM times GROUP BY 1
+HAVING count(DISTINCT year) FILTER (total_score IS NOT NULL) = (SELECT count(DISTINCT year) FROM times) AND count(*) = count(total_score)
 """, "times")
 def b23(spark, folder):
     from tallyfield.registry.composites import times
 
-    scores = times(spark, folder).select("university_name", "year", "total_score")
-    years = scores.agg(F.count_distinct("year"))
-    per_name = scores.groupBy("university_name").agg(
-        F.count(F.lit(1)).alias("years"), F.count("total_score").alias("__known"), F.avg("total_score").alias("mean_score")
-    )
-    return rounded(per_name.where(F.col("__known") == years.scalar()).drop("__known"))
+    complete = complete_entities(times(spark, folder), "university_name", "year", "total_score")
+    return rounded(complete.withColumnRenamed("mean", "mean_score"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.text import split_fields
 from tallyfield.operators.fits import gompertz_fits
-from tallyfield.operators.impact import align_pairs, impact_summary, regression_impact, sampled_impact
+from tallyfield.operators.impact import align_pairs, impact_summary, regression_impact, sampled_impact, spike_periods
 from tallyfield.plans import enrichment, ranking, repository, subscription
 from tallyfield.functions.dates import month_start
 from tallyfield.registry.cleaning import content_repo, rounded
 from tallyfield.registry.core import query
+from tallyfield.session import materialised
 from tallyfield.sources import tables
 
 ASSET = "Repository"
@@ -86,7 +87,9 @@ FROM ledger WHERE asset_name = 'Repository'
 """, "ledger")
 def h2(spark, folder):
     renewals, cancellations = ledgers(spark, folder)
-    return subscription.activity_timeline(renewals, ASSET, 1).unionByName(subscription.activity_timeline(cancellations, ASSET, 0))
+    return subscription.activity_timeline(renewals, ASSET, 1, ordered=False).unionByName(
+        subscription.activity_timeline(cancellations, ASSET, 0, ordered=False)
+    )
 
 
 @query("h3_ranking_load", """
@@ -198,7 +201,7 @@ def h15(spark, folder):
     content = content_repo(spark, folder)
     blank = F.lit(None).cast("long")
     parts = [
-        repository.sites_by_uploads(content).withColumn("list", F.lit("by_uploads")),
+        repository.sites_by_uploads(content, ordered=False).withColumn("list", F.lit("by_uploads")),
         repository.sites_without_uploads(content, "zero").withColumns({"list": F.lit("zero"), "least_uploads": blank}),
         repository.sites_without_uploads(content, "null").withColumns({"list": F.lit("null"), "least_uploads": blank}),
     ]
@@ -234,45 +237,144 @@ def h18(spark, folder):
     return series(spark, folder)
 
 
-_IMPACT = """
-WITH fit AS (SELECT pair, regr_slope(test, control) AS slope, regr_intercept(test, control) AS intercept, regr_count(test, control) AS n_pre,
-    regr_syy(test, control) AS syy, regr_sxy(test, control) AS sxy
-  FROM series WHERE date <= DATE '1998-12-01' GROUP BY pair),
-points AS (SELECT s.pair, s.date, intercept + slope * control AS predicted, test - (intercept + slope * control) AS effect, n_pre,
+def _impact_sql(source: str, period: str) -> str:
+    """Points of the regression form; `period` gives pre_start, pre_end, post_start, post_end per pair."""
+    return f"""
+WITH spans AS ({period}),
+timed AS (SELECT s.*, pre_end, post_start FROM {source} s JOIN spans USING (pair) WHERE s.date BETWEEN pre_start AND post_end),
+fit AS (SELECT pair, regr_slope(test, control) AS slope, regr_intercept(test, control) AS intercept, regr_count(test, control) AS n_pre,
+    regr_syy(test, control) AS syy, regr_sxy(test, control) AS sxy, regr_sxx(test, control) AS sxx, regr_avgx(test, control) AS mx
+  FROM timed WHERE date <= pre_end GROUP BY pair),
+points AS (SELECT s.pair, s.date, intercept + slope * control AS predicted, test - (intercept + slope * control) AS effect, n_pre, sxx, control - mx AS away,
     CASE WHEN n_pre > 2 THEN sqrt(greatest(syy - slope * sxy, 0) / (n_pre - 2)) END AS residual_sd
-  FROM series s JOIN fit USING (pair) WHERE date BETWEEN DATE '1999-01-01' AND DATE '2001-06-01' AND test IS NOT NULL AND control IS NOT NULL)
+  FROM timed s LEFT JOIN fit USING (pair) WHERE date >= post_start AND test IS NOT NULL AND control IS NOT NULL)
 """
 
 
-@query("h19_regression_impact", _IMPACT + """
-SELECT pair, date, round(predicted, 6) AS predicted, round(effect, 6) AS effect, round(residual_sd, 6) AS residual_sd,
-  round(sum(effect) OVER (PARTITION BY pair ORDER BY date ROWS UNBOUNDED PRECEDING), 6) AS cumulative_effect,
-  round(effect - 1.959963984540054 * residual_sd, 6) AS effect_low, round(effect + 1.959963984540054 * residual_sd, 6) AS effect_high
-FROM points
-""", "series")
+_POINTS = """
+SELECT pair, date, round(predicted, 6) AS predicted, round(effect, 6) AS effect, round(residual_sd, 6) AS residual_sd, round(total, 6) AS cumulative_effect,
+  round(effect - one, 6) AS effect_low, round(effect + one, 6) AS effect_high, round(total - many, 6) AS cumulative_low, round(total + many, 6) AS cumulative_high
+FROM (SELECT *, 1.959963984540054 * residual_sd * sqrt(1 + 1.0 / n_pre + away * away / nullif(sxx, 0)) AS one,
+    sum(effect) OVER w AS total,
+    1.959963984540054 * residual_sd * sqrt(count(*) OVER w + pow(count(*) OVER w, 2) / n_pre + pow(sum(away) OVER w, 2) / nullif(sxx, 0)) AS many
+  FROM points WINDOW w AS (PARTITION BY pair ORDER BY date ROWS UNBOUNDED PRECEDING))
+"""
+_ONE_PERIOD = "SELECT DISTINCT pair, DATE '0001-01-01' AS pre_start, DATE '1998-12-01' AS pre_end, DATE '1999-01-01' AS post_start, DATE '2001-06-01' AS post_end FROM series"
+_SPIKE_PERIODS = """SELECT pair, CAST(spike - INTERVAL 36 MONTH AS DATE) AS pre_start, CAST(spike - INTERVAL 1 MONTH AS DATE) AS pre_end, spike AS post_start,
+  CAST(spike + INTERVAL 12 MONTH AS DATE) AS post_end
+  FROM (SELECT DISTINCT pair, test_key FROM series) JOIN (SELECT site_key, min(make_date(years, months, 1)) AS spike FROM content_repo WHERE ttl_uploads > 100 GROUP BY 1)
+    ON site_key = test_key"""
+_POINT_COLUMNS = ("pair", "date", "predicted", "effect", "residual_sd", "cumulative_effect", "effect_low", "effect_high", "cumulative_low", "cumulative_high")
+
+
+@query("h19_regression_impact", _impact_sql("series", _ONE_PERIOD) + _POINTS, "series")
 def h19_points(spark, folder):
-    points = regression_impact(series(spark, folder), PRE_END, POST_START, POST_END)
-    return rounded(points.select("pair", "date", "predicted", "effect", "residual_sd", "cumulative_effect", "effect_low", "effect_high"))
-
-
-@query("h19_impact_summary", _IMPACT + """
-SELECT pair, CAST(max(n_pre) AS BIGINT) AS n_pre, count(*) AS n_post, round(avg(effect), 6) AS average_effect, round(sum(effect), 6) AS cumulative_effect,
-  round(sum(effect) - 1.959963984540054 * max(residual_sd) * sqrt(count(*)), 6) AS cumulative_low,
-  round(sum(effect) + 1.959963984540054 * max(residual_sd) * sqrt(count(*)), 6) AS cumulative_high,
-  round(sum(effect) / nullif(sum(predicted), 0), 6) AS relative_effect,
-  round((sum(effect) - 1.959963984540054 * max(residual_sd) * sqrt(count(*))) / nullif(sum(predicted), 0), 6) AS relative_low,
-  round((sum(effect) + 1.959963984540054 * max(residual_sd) * sqrt(count(*))) / nullif(sum(predicted), 0), 6) AS relative_high
-FROM points GROUP BY pair
+    return rounded(regression_impact(series(spark, folder), PRE_END, POST_START, POST_END).select(*_POINT_COLUMNS))
+
+
+@query("h19_spike_periods", _impact_sql("series", _SPIKE_PERIODS) + _POINTS, "series content_repo")
+def h19_spikes(spark, folder):
+    """Every site judged around its own first upload spike."""
+    spikes = repository.intervention_candidates(content_repo(spark, folder), 100)
+    own = series(spark, folder).join(spike_periods(spikes), "test_key")
+    return rounded(regression_impact(own).select(*_POINT_COLUMNS))
+
+
+@query("h19_impact_summary", _impact_sql("series", _ONE_PERIOD) + """
+SELECT pair, n_pre, n_post, round(total / n_post, 6) AS average_effect, round(total, 6) AS cumulative_effect,
+  round(total - reach, 6) AS cumulative_low, round(total + reach, 6) AS cumulative_high,
+  round(total / nullif(base, 0), 6) AS relative_effect, round((total - reach) / nullif(base, 0), 6) AS relative_low, round((total + reach) / nullif(base, 0), 6) AS relative_high
+FROM (SELECT pair, CAST(max(n_pre) AS BIGINT) AS n_pre, count(*) AS n_post, sum(effect) AS total, sum(predicted) AS base,
+    1.959963984540054 * max(residual_sd) * sqrt(count(*) + pow(count(*), 2) / max(n_pre) + pow(sum(away), 2) / nullif(max(sxx), 0)) AS reach
+  FROM points GROUP BY pair)
 """, "series")
 def h19_summary(spark, folder):
     return rounded(impact_summary(regression_impact(series(spark, folder), PRE_END, POST_START, POST_END)))
 
 
+_DONORS = """
+WITH free AS (SELECT CAST(t.year AS INTEGER) AS year, regexp_replace(university_name, '[^0-9a-zA-Z]+', '', 'g') AS name, total_score
+  FROM times t WHERE total_score IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM subscription s WHERE s.year = t.year
+      AND regexp_replace(s.parent_account, '[^0-9a-zA-Z]+', '', 'g') = regexp_replace(t.university_name, '[^0-9a-zA-Z]+', '', 'g'))),
+donors AS (SELECT name, year, avg(total_score) AS score FROM free WHERE name IN (SELECT name FROM free GROUP BY name HAVING count(DISTINCT year) = 7) GROUP BY ALL),
+control AS (SELECT year, avg(score) AS control, count(*) AS donors FROM donors GROUP BY year),
+donor_pairs AS (SELECT name AS pair, make_date(year, 1, 1) AS date, test, control, donors
+  FROM (SELECT regexp_replace(university_name, '[^0-9a-zA-Z]+', '', 'g') AS name, CAST(year AS INTEGER) AS year, avg(total_score) AS test
+    FROM times WHERE total_score IS NOT NULL GROUP BY ALL) JOIN control USING (year) WHERE name NOT IN (SELECT name FROM donors))
+"""
+
+
+def ranking_pairs(spark, folder):
+    scores, events = materialised(times(spark, folder), "times"), history(spark, folder)
+    return ranking.donor_pairs(scores, ranking.donor_pool(scores, events, FIRST_YEAR, LAST_YEAR))
+
+
+@query("h18_donor_pairs", _DONORS + "SELECT pair, date, round(test, 6) AS test, round(control, 6) AS control, donors FROM donor_pairs", "times subscription")
+def h18_donors(spark, folder):
+    return rounded(ranking_pairs(spark, folder))
+
+
+@query("h19_ranking_impact", _DONORS + "," + _impact_sql("donor_pairs", """
+  SELECT regexp_replace(parent_account, '[^0-9a-zA-Z]+', '', 'g') AS pair, DATE '0001-01-01' AS pre_start, make_date(CAST(min(year) AS INTEGER) - 1, 1, 1) AS pre_end,
+    make_date(CAST(min(year) AS INTEGER), 1, 1) AS post_start, DATE '9999-01-01' AS post_end
+  FROM subscription WHERE decision = 1 AND year IS NOT NULL AND parent_account IS NOT NULL GROUP BY 1""").strip().removeprefix("WITH") + _POINTS, "times subscription")
+def h19_ranking(spark, folder):
+    """Yearly scores of subscribers against the mean of all complete donors, from their first renewal on."""
+    own = ranking_pairs(spark, folder).join(ranking.subscription_periods(history(spark, folder)), "pair")
+    return rounded(regression_impact(own).select(*_POINT_COLUMNS))
+
+
 @query("h19_sampled_impact")
 def h19_sampled(spark, folder):
     return sampled_impact(series(spark, folder), PRE_END, POST_START, POST_END)
 
 
+@query("h19_sampled_status", """
+WITH known AS (SELECT * FROM series WHERE test IS NOT NULL AND control IS NOT NULL AND date <= DATE '2001-06-01')
+SELECT pair, CASE WHEN n_pre < 4 OR n_post < 1 OR coalesce(sd, 0) = 0 THEN 'too few points or constant series' ELSE 'ok' END AS status, n_pre, n_post
+FROM (SELECT pair, CAST(count(*) FILTER (date <= DATE '1998-12-01') AS INTEGER) AS n_pre, CAST(count(*) FILTER (date >= DATE '1999-01-01') AS INTEGER) AS n_post,
+    stddev_samp(test) FILTER (date <= DATE '1998-12-01') AS sd FROM series s SEMI JOIN known k ON s.pair = k.pair
+    WHERE test IS NOT NULL AND control IS NOT NULL AND date <= DATE '2001-06-01' GROUP BY pair)
+""", "series")
+def h19_status(spark, folder):
+    """The parts of the sampled form that rules decide."""
+    known = series(spark, folder).where(F.col("test").isNotNull() & F.col("control").isNotNull())
+    return sampled_impact(known, PRE_END, POST_START, POST_END, draws=50).select("pair", "status", "n_pre", "n_post")
+
+
+@query("h20_gompertz_recovery", """
+SELECT site_key, CAST(100 + site_key AS DOUBLE) AS asym, CAST(2 + site_key % 3 AS DOUBLE) AS b2, CAST(3 + site_key % 4 AS DOUBLE) AS rate
+FROM content_repo WHERE cum_uploads IS NOT NULL GROUP BY site_key HAVING count(DISTINCT cum_uploads) >= 8 AND max(cum_uploads) >= 5 * min(cum_uploads)
+""", "content_repo")
+def h20_recovery(spark, folder):
+    """Exact curves over the real panels, their parameters following from the site's key: the fit has to find them."""
+    key, x = F.col("site_key"), F.col("cum_uploads").cast("double")
+    rows = content_repo(spark, folder).where(x.isNotNull()).select("site_key", x.alias("cum_uploads"))
+    extent = rows.groupBy("site_key").agg(F.max("cum_uploads").alias("most"), F.min("cum_uploads").alias("least"), F.count_distinct("cum_uploads").alias("n"))
+    extent = extent.where((F.col("n") >= 8) & (F.col("most") >= 5 * F.col("least"))).select("site_key", "most")
+    exact = (100 + key) * F.exp(-(2 + key % 3) * F.exp(-(3 + key % 4) * F.col("cum_uploads") / F.col("most")))
+    fits = gompertz_fits(rows.join(extent, "site_key").withColumn("downloads", exact)).join(extent, "site_key")
+    of = lambda term: F.max(F.when(F.col("term") == term, F.col("estimate")))
+    found = fits.groupBy("site_key", "most").agg(of("Asym").alias("asym"), of("b2").alias("b2"), of("b3").alias("b3"))
+    return found.select(
+        "site_key", F.round("asym", 2).alias("asym"), F.round("b2", 3).alias("b2"), F.round(-F.log("b3") * F.col("most"), 3).alias("rate")
+    )
+
+
+@query("h20_fit_status", """
+SELECT site_key, CAST(count(downloads) FILTER (cum_uploads IS NOT NULL) AS INTEGER) AS n,
+  CASE WHEN count(downloads) FILTER (cum_uploads IS NOT NULL) < 4 OR count(DISTINCT cum_uploads) FILTER (downloads IS NOT NULL) < 4 THEN 'too few distinct points'
+    WHEN max(downloads) FILTER (cum_uploads IS NOT NULL) = min(downloads) FILTER (cum_uploads IS NOT NULL) THEN 'constant response' ELSE 'fitted or not' END AS rule
+FROM content_repo GROUP BY site_key
+""", "content_repo")
+def h20_status(spark, folder):
+    """Number of points per site and the failures that a rule states."""
+    message = F.col("message")
+    stated = F.when(message.isin("too few distinct points", "constant response"), message).otherwise("fitted or not")
+    return gompertz_fits(content_repo(spark, folder), rounds=5).select("site_key", "n", stated.alias("rule")).distinct()
+
+
 @query("h20_gompertz_fits")
 def h20(spark, folder):
     return gompertz_fits(content_repo(spark, folder), excluded=repository.EXCLUDED_SITES)

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.functions import distances as d
-from tallyfield.operators.fuzzy import matching_names
 from tallyfield.registry.cleaning import rounded
 from tallyfield.registry.core import query
-from tallyfield.registry.joins import site_names
 from tallyfield.registry.views import lcs_ctes, osa_ctes
+from tallyfield.sources import tables
 
 
 def candidate_pairs(spark, folder):
-    """Plain and secure site names within four edits."""
-    plain, secure = site_names(spark, folder)
-    pairs = matching_names(plain, secure.withColumnRenamed("listed_name", "name"), 4, "lv")
-    return pairs.select(F.col("lname").alias("a"), F.col("rname").alias("b"))
+    """Every site name and every part name with the one of the next key: whole tables, mostly unlike pairs."""
+    sites = tables.table(spark, folder, "pages").select(F.col("page_id").alias("key"), F.regexp_replace("url", "^https?://", "").alias("name"))
+    parts = tables.table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    both = []
+    for named in (sites, parts):
+        follows = named.select((F.col("key") - 1).alias("key"), F.col("name").alias("b"))
+        both.append(named.join(follows, "key").select(F.col("name").alias("a"), "b"))
+    return both[0].union(both[1]).distinct()
 
 
 _CHARS = """

@@ -98,7 +98,7 @@ FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL
 """)
 _view("downloads_d", "", """
 SELECT l_suppkey AS site_key, CAST(l_shipdate AS DATE) AS date, CAST(sum(l_quantity) AS BIGINT) AS downloads
-FROM lineitem WHERE l_returnflag <> 'N' AND l_shipdate >= TIMESTAMP '2001-01-05 00:00:00' GROUP BY ALL
+FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL
 """)
 _view("sites", "", """
 SELECT s_suppkey AS site_key, s_name AS institution_name,
@@ -129,7 +129,7 @@ _view("repaired", "content", _REPAIR.format(
 _view("content_repo", "repaired", "SELECT * FROM repaired WHERE site_key NOT IN (2, 5, 8, 1794, 2730)")
 _view("daily_content", "uploads downloads_d", """
 SELECT d.site_key, d.date, d.downloads, coalesce(u.uploads, 0) AS uploads, u.ttl_uploads
-FROM downloads_d d LEFT JOIN (
+FROM (SELECT * FROM downloads_d WHERE date >= DATE '2001-01-05') d LEFT JOIN (
   SELECT * FROM (SELECT *, sum(uploads) OVER (PARTITION BY site_key ORDER BY date ROWS UNBOUNDED PRECEDING) AS ttl_uploads
     FROM uploads WHERE site_key <> 2) WHERE date >= DATE '2001-01-05') u
   ON u.site_key = d.site_key AND u.date = d.date
@@ -197,8 +197,8 @@ _view("site_names", "", """
 SELECT page_id, regexp_replace(url, '^https?://', '') AS name, url LIKE 'https%' AS secure FROM pages
 """)
 _view("pairs", "site_names", """
-SELECT l.name AS a, r.name AS b FROM (SELECT DISTINCT name FROM site_names WHERE NOT secure) l
-JOIN (SELECT DISTINCT name FROM site_names WHERE secure) r ON levenshtein(l.name, r.name) <= 4
+SELECT l.name AS a, r.name AS b FROM site_names l JOIN site_names r ON r.page_id = l.page_id + 1
+UNION SELECT l.p_name, r.p_name FROM part l JOIN part r ON r.p_partkey = l.p_partkey + 1
 """)
 
 

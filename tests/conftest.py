@@ -23,6 +23,9 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from tallyfield.session import clear_work
+
+    clear_work(session)
     session.stop()
 
 

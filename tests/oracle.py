@@ -55,4 +55,4 @@ def compare(spark_df, con, sql):
             return False, f"{got_names}: {g} != {w}"
     types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
     odd = {c: (t, kinds[c]) for c, t in spark_df.dtypes if types.get(t) and types[t] not in (kinds[c], {"NUMBER": types[t], "STRING": "VARCHAR"}.get(kinds[c], ""))}
-    return True, f"{len(got)} rows" + (f" types {odd}" if odd else "")
+    return not odd, f"{len(got)} rows" + (f" types {odd}" if odd else "")

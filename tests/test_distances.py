@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield.functions import distances as d
 from tallyfield.functions.distances import distance_columns
 
 # The recorded results.
@@ -72,3 +73,44 @@ def test_missing_sides(spark):
     df = spark.createDataFrame([("a", None), (None, "b"), (None, None)], "a string, b string")
     for r in df.select(*distance_columns(F.col("a"), F.col("b"))).collect():
         assert all(v is None for v in r)
+
+
+def test_batched_distances_equal_plain_loops(spark):
+    """Unlike texts of many lengths, empty ones among them."""
+    draw = random.Random(1)
+    texts = ["".join(draw.choice("abcé ") for _ in range(draw.choice([0, 1, 2, 5, 9, 30]))) for _ in range(400)]
+    pairs = list(zip(texts, texts[1:] + texts[:1], strict=True))
+
+    def damerau(a, b):
+        last, cost = {}, {}
+        far = len(a) + len(b)
+        for i in range(-1, len(a) + 1):
+            for j in range(-1, len(b) + 1):
+                cost[i, j] = far if min(i, j) < 0 else max(i, j) if min(i, j) == 0 else None
+        for i in range(1, len(a) + 1):
+            seen = 0
+            for j in range(1, len(b) + 1):
+                r, c = last.get(b[j - 1], 0), seen
+                if a[i - 1] == b[j - 1]:
+                    seen = j
+                cost[i, j] = min(cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]), cost[i, j - 1] + 1, cost[i - 1, j] + 1, cost[r - 1, c - 1] + i - r + j - c - 1)
+            last[a[i - 1]] = i
+        return cost[len(a), len(b)]
+
+    def jaro(a, b):
+        if not a and not b:
+            return 0.0
+        reach, free, kept = max(max(len(a), len(b)) // 2 - 1, 0), list(b), []
+        for i, ch in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if free[j] == ch:
+                    free[j] = None
+                    kept.append(ch)
+                    break
+        m, other = len(kept), [ch for ch, f in zip(b, free, strict=True) if f is None]
+        return 1.0 if not m else 1 - (m / len(a) + m / len(b) + (m - sum(p != q for p, q in zip(kept, other, strict=True)) // 2) / m) / 3
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("a", "b", d.damerau("a", "b").alias("dl"), d.jaro("a", "b").alias("jw")).collect()
+    assert all(r["dl"] == damerau(r["a"], r["b"]) for r in got)
+    assert all(abs(r["jw"] - jaro(r["a"], r["b"])) < 1e-12 for r in got)

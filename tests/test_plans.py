@@ -144,3 +144,25 @@ def test_impact_finds_a_step(spark):
     assert first["step"]["average_low"] < 15 < first["step"]["average_high"] and first["step"]["tail_probability"] < 0.01
     assert first["none"]["average_low"] < 0 < first["none"]["average_high"] and first["none"]["tail_probability"] > 0.05
     assert first["flat"]["status"] != "ok" and first["flat"]["cumulative_effect"] is None
+
+
+def test_impact_with_a_period_per_pair(spark):
+    rows = [(pair, *row, dt.date(1990, 1, 1), *edges) for pair, edges in (("early", (dt.date(2002, 12, 1), dt.date(2003, 1, 1), dt.date(2003, 6, 1))), ("late", (dt.date(2004, 2, 1), dt.date(2004, 3, 1), dt.date(2010, 1, 1)))) for row in _step_series(15.0)]
+    series = spark.createDataFrame(rows, "pair string, date date, test double, control double, pre_start date, pre_end date, post_start date, post_end date")
+    got = {r["pair"]: r for r in impact_summary(regression_impact(series)).collect()}
+    assert (got["early"]["n_pre"], got["early"]["n_post"]) == (36, 6) and (got["late"]["n_pre"], got["late"]["n_post"]) == (50, 30)
+    points = _step_series(15.0)
+    for pair, n, m in (("early", 36, 6), ("late", 50, 30)):
+        slope, intercept = np.polyfit([c for _, _, c in points[:n]], [t for _, t, _ in points[:n]], 1)
+        want = np.mean([t - intercept - slope * c for _, t, c in points[n : n + m]])
+        assert got[pair]["average_effect"] == pytest.approx(want)
+    sampled = {r["pair"]: r for r in sampled_impact(series, draws=200).collect()}
+    assert (sampled["early"]["n_pre"], sampled["late"]["n_post"]) == (36, 30)
+    one = regression_impact(series.where("pair = 'late'").drop("pre_start", "pre_end", "post_start", "post_end"), "2004-02-01", "2004-03-01").orderBy("date").first()
+    pre = [(t, c) for d, t, c in _step_series(15.0) if d <= dt.date(2004, 2, 1)]
+    y, x = (np.array(v) for v in zip(*pre, strict=True))
+    slope, intercept = np.polyfit(x, y, 1)
+    s = np.sqrt(((y - intercept - slope * x) ** 2).sum() / (len(x) - 2))
+    wide = 1.959963984540054 * s * np.sqrt(1 + 1 / len(x) + (one["control"] - x.mean()) ** 2 / ((x - x.mean()) ** 2).sum())
+    assert one["effect_high"] - one["effect"] == pytest.approx(wide)
+    assert one["cumulative_high"] - one["cumulative_effect"] == pytest.approx(wide)

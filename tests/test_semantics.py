@@ -1,13 +1,20 @@
 """Missing values, order, typing and joins on small hand-made tables."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfield import session
 from tallyfield.functions.nulls import all_true, not_listed, sort_ascending, sort_descending, strict_avg
 from tallyfield.functions.text import parse_number, parse_percent, range_midpoint, split_fields
-from tallyfield.operators.joins import broadcast_within, natural_join, null_safe_join, unmatched
+from tallyfield.operators.fuzzy import match_coverage
+from tallyfield.operators.joins import natural_join, null_safe_join, unmatched
+from tallyfield.plans.enrichment import country_list
+from tallyfield.plans.ranking import complete_entities
+from tallyfield.session import clear_work, shared_dir, work_path
+from tallyfield.sources.files import write_panel
 from tallyfield.operators.ordered import (
     earliest_rows,
     fill_down_up,
@@ -68,12 +75,61 @@ def test_joins_match_missing_with_missing(spark, rows):
     assert rows(unmatched(a, b, ["k"])) == [(4, "z")]
 
 
-def test_broadcast_only_below_its_bound(spark):
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    small, large = broadcast_within(spark.range(5), 10), broadcast_within(spark.range(50), 10)
-    joined = big.hint("merge").join(small.withColumnRenamed("id", "k"), "k")._jdf.queryExecution()
-    assert "broadcast" in joined.optimizedPlan().toString().lower()
-    assert "broadcast" not in large._jdf.queryExecution().optimizedPlan().toString().lower()
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    cluster = N(conf=N(get=lambda key, default: default), sparkContext=N(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster)
+
+
+def test_cleared_session_leaves_no_files(spark):
+    kept = dict(session._made)
+    session._made.clear()
+    path = work_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert Path(path).exists()
+    clear_work(spark)
+    assert not Path(path).exists() and not session._made.get(spark.sparkContext.applicationId)
+    session._made.update(kept)
+
+
+def test_panel_layout_prunes_partitions(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "cast(id % 4 as int) AS year")
+    write_panel(rows, str(tmp_path / "panel"), ["year"], max_records=100)
+    read = spark.read.parquet(str(tmp_path / "panel")).where("year = 2")
+    assert read.count() == 250 and len(list((tmp_path / "panel" / "year=2").glob("*.parquet"))) >= 3
+    assert "PartitionFilters: [isnotnull(year" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_complete_entities_count_periods_not_rows(spark):
+    rows = [("a", 1, 5.0), ("a", 2, 7.0), ("b", 1, 5.0), ("b", 1, 6.0), ("c", 1, 1.0), ("c", 2, 2.0), ("c", 2, None), ("d", 1, 3.0), ("d", 2, None)]
+    got = complete_entities(spark.createDataFrame(rows, "name string, year int, score double"), "name", "year", "score").collect()
+    assert [tuple(r) for r in got] == [("a", 2, 6.0)]
+
+
+def test_repeated_lookups_give_one_row_per_name(spark):
+    part = lambda name: [{"long_name": name, "types": ["country", "political"]}]
+    answers = [("u", part("B")), ("u", part("A")), ("v", []), ("v", part("C"))]
+    found = spark.createDataFrame(answers, "university string, address_components array<struct<long_name:string,types:array<string>>>")
+    names = spark.createDataFrame([("u", 1), ("u", 2), ("v", 3), ("w", 4), ("x", None)], "name string, size int")
+    got = country_list(names, found, "name", "size").collect()
+    assert sorted(tuple(r) for r in got if r[1]) == [("u", "A"), ("v", "C")] and len(got) == 3
+
+
+def test_exact_coverage_leaves_missing_names_unmatched(spark):
+    names = spark.createDataFrame([(None,), ("some long name of a site",)], "name string")
+    listed = spark.createDataFrame([(1, None), (2, "some long name of a site")], "id int, listed string")
+    got = {r["join"]: (r["rows"], r["matched"], r["missing"], r["distinct"]) for r in match_coverage(names, listed, "name", "listed", "id", 2).collect()}
+    assert got == {"exact": (2, 1, 1, 1), "fuzzy": (2, 1, 1, 1)}
+
+
+@pytest.mark.parametrize("name", ["h2_activity_timeline", "h15_upload_lists"])
+def test_no_sort_below_a_union(spark, name):
+    from tallyfield.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "Sort [" not in plan
 
 
 def test_sorting_puts_missing_last(spark):
@@ -160,3 +216,19 @@ def test_wide_form_refuses_two_values(spark):
     with pytest.raises(Exception, match="several values"):
         to_wide(df, "y", "n", "v", ["a"]).collect()
     assert to_wide(df.limit(1), "y", "n", "v", ["a", "b"]).columns == ["y", "a", "b"]
+
+
+@pytest.mark.parametrize("ids", [lambda i: i, lambda i: (i * 0x9E3779B97F4A7C15 + 7) % 2**64 - 2**63])
+def test_ledger_total_with_dense_and_sparse_ids(spark, ids):
+    rows = [(ids(i), "hot" if i % 3 else "cold", day("2020-01-01"), i % 11) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, account string, d date, v long")
+    total = ledger_running_total(df, "v", ["account"], "d", "row_id", "upto", slice_rows=200)
+    running, want = {}, {}
+    for i, account, _, v in sorted(rows):
+        running[account] = running.get(account, 0) + v
+        want[i] = running[account]
+    assert {r["row_id"]: r["upto"] for r in total.collect()} == want
+    plan = total._jdf.queryExecution().optimizedPlan().toString()
+    width = float(plan.split(" / ")[1].split(")")[0])
+    slices = {(a, int((float(i) - min(ids(k) for k in range(3000))) / width)) for i, a, _, _ in rows}
+    assert 10 <= len(slices) <= 60
