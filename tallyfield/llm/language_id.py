@@ -32,7 +32,7 @@ HIDDEN = 24
 EPOCHS = 4
 BATCH = 256
 STEP = 0.01
-MAX_RUNS = 600_000
+MAX_RUNS = 400_000
 LONGEST = 24  # letters; longer runs are cut into pieces of this length
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"

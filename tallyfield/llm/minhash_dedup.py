@@ -35,7 +35,7 @@ from tallyfield.session import materialised
 
 ORDERS, MIN_DEPTH, DEPTH, NEIGHBOURS = 24, 4, 12, 3
 COMPONENTS = ORDERS * MIN_DEPTH
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 SLACK = 0.16  # about four standard deviations of the estimate from COMPONENTS values
 TESTS_PER_ROUND = (1, 4)
 BROADCAST_IDS = 2_000_000  # 16 MB of ids
@@ -50,7 +50,7 @@ _ORDER = np.concatenate([_ORDER, _REST], axis=1)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound; one per task, so that it does not outlive its stage."""
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
@@ -59,16 +59,13 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; words are lower-cased in A-Z and cut at ASCII white space."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, n)
+    h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, n)
     width = min(words, n)
     acc = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
@@ -89,10 +86,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
     """Set size, set fingerprint and signature of every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             size, print_, sig = [], [], []
             for body in batch.column(1).to_pylist():
-                s = shingle_set(body, words)
+                s = shingle_set(body, words, hashes)
                 size.append(len(s))
                 mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                 print_.append(np.array([s.sum(), mixed.sum()], np.uint64).tobytes() if len(s) else None)
@@ -183,8 +181,9 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, wor
     """Full sets of the documents named in `wanted`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(body, words).tobytes() for body in batch.column(1).to_pylist()]
+            found = [shingle_set(body, words, hashes).tobytes() for body in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "members"])
 
     # Up to a counted size the ids go to the texts; beyond it the texts are shuffled to the ids.

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
-MAX_WORDS = 800_000
+MAX_WORDS = 500_000
 END = "</w>"
 
 # Characters whose lower case and composed form are the same in every library: ASCII and the letters of Latin-1.
