@@ -34,7 +34,8 @@ SAMPLE = 4096
 MAX_PIVOTS = 256
 STRIP = 8192
 TIGHT = 0.2
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+RADII = (0.5, 0.25, 0.125, 0.0625)
+BLOCK = 2_000_000  # numbers held at once per matrix while trees are walked
 ROUNDING = 1e-5  # bounds are taken this much wider, as centres are compared in single precision
 
 
@@ -52,8 +53,8 @@ def covered_by(points: np.ndarray, radius: float) -> np.ndarray:
     """For each point the number of its centre; centres are picked in order, each point that no earlier one covers."""
     near = 1 - radius * radius / 2
     centre, picked = np.zeros(len(points), np.int64), []
-    for at in range(0, len(points), 1024):
-        block = points[at : at + 1024]
+    for at in range(0, len(points), 512):
+        block = points[at : at + 512]
         own = np.full(len(block), -1, np.int64)
         if picked:
             s = block @ points[picked].T
@@ -66,7 +67,7 @@ def covered_by(points: np.ndarray, radius: float) -> np.ndarray:
                 picked.append(at + i)
                 own[within[i] & (own < 0)] = at + i
                 own[i] = at + i
-        centre[at : at + 1024] = own
+        centre[at : at + 512] = own
     return centre
 
 
@@ -127,16 +128,22 @@ class Traversal:
         a, b = self.a, self.b
         ra, rb = np.asarray(a.roots), np.asarray(b.roots)
         ca, cb = a.points[a.centre[ra]].astype(np.float32), b.points[b.centre[rb]].astype(np.float32)
-        found = []
-        for at in range(0, len(ra), 1024):
-            far = a.radius[ra[at : at + 1024], None] + b.radius[rb][None, :] + self.reach + ROUNDING
-            i, j = np.nonzero(2 - 2 * (ca[at : at + 1024] @ cb.T) <= (far * far).astype(np.float32))
-            found.append(np.stack([ra[at + i], rb[j]]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        if self.same:
-            pairs = pairs[:, pairs[0] <= pairs[1]]
-        while pairs.shape[1]:
-            pairs = self.step(*pairs)
+        far_a, far_b = (t.radius[r].astype(np.float32) for t, r in ((a, ra), (b, rb)))
+        far_a += np.float32(self.reach + ROUNDING)
+        rows, most = max(1, BLOCK // len(rb)), max(1, BLOCK // a.points.shape[1])
+        for at in range(0, len(ra), rows):
+            far = far_a[at : at + rows, None] + far_b
+            i, j = np.nonzero(2 - 2 * (ca[at : at + rows] @ cb.T) <= far * far)
+            left = [np.stack([ra[at + i], rb[j]])]
+            if self.same:
+                left = [left[0][:, left[0][0] <= left[0][1]]]
+            while left:  # depth first, a bounded number of pairs at a time
+                pairs = left.pop()
+                if pairs.shape[1] > most:
+                    left.append(pairs[:, most:])
+                opened = self.step(*pairs[:, :most])
+                if opened.shape[1]:
+                    left.append(opened)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Drop, count or open each pair of nodes; the pairs of opened nodes come back."""
