@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.functions.text import console_url, country_of, http_hosts
+from tallyfield.operators.fuzzy import fuzzy_left_join, unmatched_names
 from tallyfield.operators.joins import null_safe_join
 
 
@@ -46,3 +47,21 @@ def crawl_ledger(hosts: DataFrame, landed: DataFrame) -> DataFrame:
         F.when(~done, F.coalesce("reason", F.lit("no result"))).alias("reason"),
         console_url(F.col("host")).alias("resource_url"),
     )
+
+
+def enriched_history(history: DataFrame, institutions: DataFrame, sites: DataFrame) -> DataFrame:
+    """History rows with every institution within two edits of the parent and every site within four of the account.
+
+    `institutions` is (institution, ...) and `sites` (site, ...); `institution_diff` and `site_diff` are the distances.
+    Rows without a partner stay with NULL, and so do those without a name.
+    """
+    matched = fuzzy_left_join(history, institutions, "parent_account", "institution", k=2, distance_col="institution_diff")
+    return fuzzy_left_join(matched, sites, "account_name", "site", k=4, distance_col="site_diff")
+
+
+def enrichment_misses(history: DataFrame, institutions: DataFrame, sites: DataFrame) -> DataFrame:
+    """(kind, name) of the distinct parents and accounts that no listed name comes close to."""
+    parents = unmatched_names(history, institutions, "parent_account", "institution", k=2)
+    accounts = unmatched_names(history, sites, "account_name", "site", k=4)
+    named = [df.select(F.lit(kind).alias("kind"), F.col(df.columns[0]).alias("name")) for kind, df in (("institution", parents), ("site", accounts))]
+    return named[0].union(named[1])

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyfield.functions.dates import month_start
 from tallyfield.functions.text import split_fields
 from tallyfield.operators.fits import gompertz_fits
 from tallyfield.operators.impact import align_pairs, impact_summary, regression_impact, sampled_impact, spike_periods
 from tallyfield.plans import enrichment, ranking, repository, subscription
-from tallyfield.functions.dates import month_start
 from tallyfield.registry.cleaning import content_repo, rounded
 from tallyfield.registry.core import query
+from tallyfield.registry.views import osa_ctes
 from tallyfield.session import materialised
 from tallyfield.sources import tables
 
@@ -78,6 +79,49 @@ def h1(spark, folder):
     return history(spark, folder)
 
 
+_ENRICHED = f"""
+WITH RECURSIVE named AS (SELECT row_id, decision, p_name AS account_name,
+    CASE WHEN parent_account IS NOT NULL THEN substr(p_name, 1, 2) || substr(p_name, 4, 1) || substr(p_name, 3, 1) || substr(p_name, 5) END AS parent_account
+  FROM subscription LEFT JOIN part ON p_partkey = account_id),
+institutions AS (SELECT DISTINCT p_name AS institution FROM part WHERE p_size <= 25),
+listed_sites AS (SELECT DISTINCT p_name || ' org' AS site FROM part WHERE p_size > 20),
+near AS (SELECT DISTINCT parent_account AS a, institution AS b FROM named, institutions WHERE abs(length(parent_account) - length(institution)) <= 2
+  UNION SELECT DISTINCT account_name, site FROM named, listed_sites WHERE abs(length(account_name) - length(site)) <= 4),
+{osa_ctes("SELECT a, b FROM near WHERE a IS NOT NULL AND levenshtein(a, b) <= 8")},
+i AS (SELECT a, b, dist FROM osa JOIN institutions ON b = institution WHERE dist <= 2),
+s AS (SELECT a, b, dist FROM osa JOIN listed_sites ON b = site WHERE dist <= 4)
+"""
+
+
+def enrichment_tables(spark, folder):
+    """History with part names for accounts and swapped ones for parents, and two lists that lack many of them."""
+    part = tables.table(spark, folder, "part")
+    name = F.col("p_name")
+    swapped = F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1), F.substring(name, 3, 1), F.substr(name, F.lit(5)))
+    events = history(spark, folder)
+    named = events.join(part.select("p_partkey", "p_name"), events["account_id"] == part["p_partkey"], "left").select(
+        "row_id", "decision", name.alias("account_name"), F.when(F.col("parent_account").isNotNull(), swapped).alias("parent_account")
+    )
+    institutions = part.where("p_size <= 25").select(name.alias("institution")).distinct()
+    return named, institutions, part.where("p_size > 20").select(F.concat(name, F.lit(" org")).alias("site")).distinct()
+
+
+@query("h1_enriched_history", _ENRICHED + """
+SELECT row_id, decision, account_name, parent_account, i.b AS institution, CAST(i.dist AS INTEGER) AS institution_diff, s.b AS site, CAST(s.dist AS INTEGER) AS site_diff
+FROM named LEFT JOIN i ON i.a = parent_account LEFT JOIN s ON s.a = account_name
+""", "subscription")
+def h1_enriched(spark, folder):
+    return enrichment.enriched_history(*enrichment_tables(spark, folder))
+
+
+@query("h1_enrichment_misses", _ENRICHED + """
+SELECT DISTINCT 'institution' AS kind, parent_account AS name FROM named WHERE parent_account IS NULL OR parent_account NOT IN (SELECT a FROM i)
+UNION ALL SELECT DISTINCT 'site', account_name FROM named WHERE account_name IS NULL OR account_name NOT IN (SELECT a FROM s)
+""", "subscription")
+def h1_misses(spark, folder):
+    return enrichment.enrichment_misses(*enrichment_tables(spark, folder))
+
+
 @query("h2_activity_timeline", """
 SELECT row_id, event_date, account_name, CAST(year(event_date) AS INTEGER) AS event_year, CAST(month(event_date) AS INTEGER) AS event_month,
   count(*) OVER (PARTITION BY kind, event_date) AS daily_count,
