@@ -11,7 +11,7 @@ import re
 import time
 
 from tallyfield.registry import QUERIES
-from tallyfield.session import build_session
+from tallyfield.session import build_session, clear_work
 
 HEADLINE = (
     "h1_subscription_history",
@@ -66,6 +66,7 @@ def main() -> None:
             }
         )
     )
+    clear_work(spark)
     spark.stop()
 
 

@@ -23,8 +23,11 @@ def _codes(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
     return table, lengths
 
 
-def _batches(left: pd.Series, right: pd.Series):
-    """Pairs without missing sides, grouped by length so that a batch wastes little padding."""
+def _batches(left: pd.Series, right: pd.Series, area: bool = False):
+    """Pairs without missing sides, grouped by length so that a batch wastes little padding.
+
+    A batch holds at most CELLS numbers: one row of each pair's table, or the whole table with `area`.
+    """
     known = np.flatnonzero((left.notna() & right.notna()).to_numpy())
     a, b = left.to_numpy(dtype=object), right.to_numpy(dtype=object)
     order = sorted(known, key=lambda i: (len(a[i]), len(b[i])))
@@ -32,7 +35,7 @@ def _batches(left: pd.Series, right: pd.Series):
     while start < len(order):
         stop, width = start, 0
         while stop < len(order):
-            width = max(width, len(b[order[stop]]) + 1)
+            width = max(width, (len(b[order[stop]]) + 1) * (len(a[order[stop]]) + 1 if area else 1))
             if stop > start and (stop - start + 1) * width > CELLS:
                 break
             stop += 1
@@ -88,75 +91,84 @@ def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
     return _batched(left, right, substitute=False, transpose=False)
 
 
-def _full_damerau(a: str, b: str) -> int:
-    """Edits plus swaps whose parts may be edited again."""
-    limit = len(a) + len(b)
-    cost = {(-1, -1): limit}
-    for i in range(len(a) + 1):
-        cost[i, -1], cost[i, 0] = limit, i
-    for j in range(len(b) + 1):
-        cost[-1, j], cost[0, j] = limit, j
-    last_row: dict[str, int] = {}
-    for i in range(1, len(a) + 1):
-        last_col = 0
-        for j in range(1, len(b) + 1):
-            row, col = last_row.get(b[j - 1], 0), last_col
-            equal = a[i - 1] == b[j - 1]
-            if equal:
-                last_col = j
-            cost[i, j] = min(
-                cost[i - 1, j - 1] + (not equal),
-                cost[i, j - 1] + 1,
-                cost[i - 1, j] + 1,
-                cost[row - 1, col - 1] + (i - row - 1) + 1 + (j - col - 1),
-            )
-        last_row[a[i - 1]] = i
-    return cost[len(a), len(b)]
+def _damerau_table(a: list[str], b: list[str]) -> np.ndarray:
+    """Edits plus swaps whose parts may be edited again, for many pairs: the whole table of costs is kept."""
+    x, nx = _codes(a, -1)
+    y, ny = _codes(b, -2)
+    pairs, width = y.shape
+    steps, columns, at = np.arange(width + 1), np.arange(1, width + 1), np.arange(pairs)[:, None]
+    table = np.zeros((x.shape[1] + 1, pairs, width + 1), dtype=np.int32)
+    table[0] = steps
+    last_row = np.zeros((pairs, width), dtype=np.int64)  # last row whose character equals the column's
+    for i in range(1, x.shape[1] + 1):
+        same = x[:, i - 1 : i] == y
+        reached = np.maximum.accumulate(np.where(same, columns, 0), axis=1)
+        last_col = np.hstack([np.zeros((pairs, 1), dtype=np.int64), reached[:, :-1]])[:, :width]
+        known = (last_row > 0) & (last_col > 0)
+        swap = table[np.maximum(last_row - 1, 0), at, np.maximum(last_col - 1, 0)] + (i - last_row) + (columns - last_col - 1)
+        above = table[i - 1]
+        best = np.minimum(above[:, 1:] + 1, above[:, :-1] + ~same)
+        best = np.where(known, np.minimum(best, swap), best)
+        row = np.hstack([np.full((pairs, 1), i), best]) - steps
+        table[i] = np.minimum.accumulate(row, axis=1) + steps
+        last_row[same] = i
+    return table[nx, np.arange(pairs), ny]
+
+
+def _jaro_table(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro distance of many pairs: each character takes the first free equal one within reach."""
+    x, nx = _codes(a, -1)
+    y, ny = _codes(b, -2)
+    pairs, width = y.shape
+    reach = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)[:, None]
+    columns, rows = np.arange(width)[None, :], np.arange(pairs)
+    taken, kept = np.zeros(y.shape, dtype=bool), np.zeros(x.shape, dtype=bool)
+    for i in range(x.shape[1] if width else 0):
+        free = (x[:, i : i + 1] == y) & ~taken & (np.abs(columns - i) <= reach)
+        hit = free.any(axis=1)
+        taken[rows[hit], free.argmax(axis=1)[hit]] = True
+        kept[:, i] = hit
+    m = kept.sum(axis=1)
+    front = lambda codes, mask: np.take_along_axis(codes, np.argsort(~mask, axis=1, kind="stable"), axis=1)
+    most = int(m.max(initial=0))
+    differ = (front(x, kept)[:, :most] != front(y, taken)[:, :most]) & (np.arange(most)[None, :] < m[:, None])
+    half_swaps = differ.sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        near = (m / nx + m / ny + (m - half_swaps) / m) / 3.0
+    return np.where((nx == 0) & (ny == 0), 0.0, np.where(m == 0, 1.0, 1.0 - near))
 
 
 @F.pandas_udf(T.IntegerType())
 def damerau(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else _full_damerau(a, b) for a, b in zip(left, right, strict=True)],
-        dtype="Int64",
-    )
-
-
-def _jaro_distance(a: str, b: str) -> float:
-    if not a and not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    kept = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                kept.append(ch)
-                break
-    m = len(kept)
-    if m == 0:
-        return 1.0
-    partner = [ch for ch, t in zip(b, taken, strict=True) if t]
-    half_swaps = sum(p != q for p, q in zip(kept, partner, strict=True)) // 2
-    return 1.0 - (m / len(a) + m / len(b) + (m - half_swaps) / m) / 3.0
+    out = pd.Series(np.nan, index=range(len(left)), dtype="float64")
+    for rows, a, b in _batches(left, right, area=True):
+        out.iloc[rows] = _damerau_table(a, b)
+    return out.astype("Int64")
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaro distance (Jaro-Winkler without a prefix bonus)."""
-    return pd.Series(
-        [None if a is None or b is None else _jaro_distance(a, b) for a, b in zip(left, right, strict=True)],
-        dtype="Float64",
-    )
+    out = pd.Series(np.nan, index=range(len(left)), dtype="float64")
+    for rows, a, b in _batches(left, right):
+        out.iloc[rows] = _jaro_table(a, b)
+    return out.astype("Float64").mask(left.isna().to_numpy() | right.isna().to_numpy())
 
 
 def _characters(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def _occurrences(chars: Column, ch: Column) -> Column:
-    return F.size(F.filter(chars, lambda c: c == ch))
+def _with_characters(a: Column, b: Column, body) -> Column:
+    """`body(characters of a, characters of b)`, each text cut once per row."""
+    cut = F.struct(_characters(a).alias("x"), _characters(b).alias("y"))
+    return F.get(F.transform(F.array(cut), lambda s: body(s["x"], s["y"])), F.lit(0))
+
+
+def _counts(x: Column, y: Column) -> Column:
+    """(count in x, count in y) of every character of either."""
+    times = lambda chars, ch: F.size(F.filter(chars, lambda c: c == ch)).cast("double")
+    return F.transform(F.array_union(x, y), lambda ch: F.struct(times(x, ch).alias("m"), times(y, ch).alias("n")))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -167,25 +179,25 @@ def hamming(a: Column, b: Column) -> Column:
     )
 
 
-def _count_sum(a: Column, b: Column, term) -> Column:
-    """Sum of term(count in a, count in b) over the characters of either text."""
-    x, y = _characters(a), _characters(b)
-    return F.aggregate(
-        F.array_union(x, y),
-        F.lit(0.0),
-        lambda acc, ch: acc + term(_occurrences(x, ch).cast("double"), _occurrences(y, ch).cast("double")),
-    )
-
-
 def qgram(a: Column, b: Column) -> Column:
     """Sum of absolute differences of character counts."""
-    return _count_sum(a, b, lambda m, n: F.abs(m - n)).cast("int")
+    total = lambda x, y: F.aggregate(_counts(x, y), F.lit(0.0), lambda acc, c: acc + F.abs(c["m"] - c["n"]))
+    return F.when(a.isNotNull() & b.isNotNull(), _with_characters(a, b, total).cast("int"))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    dot = _count_sum(a, b, lambda m, n: m * n)
-    norms = F.sqrt(_count_sum(a, b, lambda m, n: m * m)) * F.sqrt(_count_sum(a, b, lambda m, n: n * n))
-    return F.when(a == b, F.lit(0.0)).otherwise(1.0 - F.try_divide(dot, norms))
+    """One minus the cosine of the two count vectors; three sums in one pass over the characters."""
+    zero = F.struct(F.lit(0.0).alias("mn"), F.lit(0.0).alias("mm"), F.lit(0.0).alias("nn"))
+
+    def add(acc: Column, c: Column) -> Column:
+        m, n = c["m"], c["n"]
+        return F.struct((acc["mn"] + m * n).alias("mn"), (acc["mm"] + m * m).alias("mm"), (acc["nn"] + n * n).alias("nn"))
+
+    def end(acc: Column) -> Column:
+        return 1.0 - F.try_divide(acc["mn"], F.sqrt(acc["mm"]) * F.sqrt(acc["nn"]))
+
+    apart = _with_characters(a, b, lambda x, y: F.aggregate(_counts(x, y), zero, add, end))
+    return F.when(a == b, F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), apart)
 
 
 def jaccard(a: Column, b: Column) -> Column:

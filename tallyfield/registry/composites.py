@@ -83,8 +83,8 @@ _ENRICHED = f"""
 WITH RECURSIVE named AS (SELECT row_id, decision, p_name AS account_name,
     CASE WHEN parent_account IS NOT NULL THEN substr(p_name, 1, 2) || substr(p_name, 4, 1) || substr(p_name, 3, 1) || substr(p_name, 5) END AS parent_account
   FROM subscription LEFT JOIN part ON p_partkey = account_id),
-institutions AS (SELECT DISTINCT p_name AS institution FROM part WHERE p_size <= 25),
-listed_sites AS (SELECT DISTINCT p_name || ' org' AS site FROM part WHERE p_size > 20),
+institutions AS (SELECT DISTINCT p_name AS institution FROM part WHERE p_name < 'm'),
+listed_sites AS (SELECT DISTINCT p_name || ' org' AS site FROM part WHERE p_name >= 'g'),
 near AS (SELECT DISTINCT parent_account AS a, institution AS b FROM named, institutions WHERE abs(length(parent_account) - length(institution)) <= 2
   UNION SELECT DISTINCT account_name, site FROM named, listed_sites WHERE abs(length(account_name) - length(site)) <= 4),
 {osa_ctes("SELECT a, b FROM near WHERE a IS NOT NULL AND levenshtein(a, b) <= 8")},
@@ -102,8 +102,8 @@ def enrichment_tables(spark, folder):
     named = events.join(part.select("p_partkey", "p_name"), events["account_id"] == part["p_partkey"], "left").select(
         "row_id", "decision", name.alias("account_name"), F.when(F.col("parent_account").isNotNull(), swapped).alias("parent_account")
     )
-    institutions = part.where("p_size <= 25").select(name.alias("institution")).distinct()
-    return named, institutions, part.where("p_size > 20").select(F.concat(name, F.lit(" org")).alias("site")).distinct()
+    institutions = part.where("p_name < 'm'").select(name.alias("institution")).distinct()
+    return named, institutions, part.where("p_name >= 'g'").select(F.concat(name, F.lit(" org")).alias("site")).distinct()
 
 
 @query("h1_enriched_history", _ENRICHED + """

@@ -26,18 +26,37 @@ def build_session(app: str = "tallyfield", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`, or a new local one where none is named (tests)."""
+    """Folder every executor can reach: `spark.checkpoint.dir`.
+
+    Where none is named, a local master (tests) gets a new folder of its own; on a cluster that is an error, as executors
+    would write to disks that others cannot read.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tallyfield-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `clear_work` removes it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove what this application has written below the shared folder. Frames that read it cannot be used any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
