@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 PER_LANGUAGE = 400
 RUNS_PER_DOC = 48
+SAMPLE_PARTS = 64
 MAX_LANGUAGES = 200
 HIDDEN = 24
 EPOCHS = 4
@@ -197,8 +198,11 @@ def training_runs(docs: DataFrame, doc_id: str, text: str, lang: str, per_langua
     key = F.xxhash64("doc_id")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("body").isNotNull() & ~held_out(F.col("doc_id")))
-    first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    # The smallest hashes of each language, found in parts first: one task then sees a bounded number of rows.
+    chosen = rows.select("lang", "doc_id").withColumn("part", F.pmod(key, F.lit(SAMPLE_PARTS)))
+    for groups in (("lang", "part"), ("lang",)):
+        first = Window.partitionBy(*groups).orderBy(key, "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
     sample = rows.join(F.broadcast(chosen.where(F.col("lang") != UNKNOWN).select("doc_id").distinct()), "doc_id", "left_semi").select("body", "lang")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
