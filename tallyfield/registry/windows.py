@@ -55,7 +55,7 @@ def e2_panel(spark, folder):
 @query("e3_gap_repair", "SELECT site_key, date, CAST(uploads AS BIGINT) AS uploads, CAST(ttl_uploads AS BIGINT) AS ttl_uploads FROM daily_repo", "daily_repo")
 def e3(spark, folder):
     recent = daily_uploads(tables.uploads(spark, folder).where("site_key <> 2")).where("date >= DATE '2001-01-05'")
-    joined = tables.downloads_daily(spark, folder).join(recent, ["site_key", "date"], "left").fillna(0, ["uploads"])
+    joined = tables.downloads_daily(spark, folder).where("date >= DATE '2001-01-05'").join(recent, ["site_key", "date"], "left").fillna(0, ["uploads"])
     return repair_cumulative(joined, "ttl_uploads", "uploads", ["site_key"], ["date"]).select("site_key", "date", "uploads", "ttl_uploads")
 
 
