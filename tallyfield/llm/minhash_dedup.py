@@ -5,14 +5,20 @@ Texts with equal shingle sets become one node first, so a text with a third of a
 exchange, which may cut anywhere and so knows no hot keys. A node's candidates are its next neighbours in each order as
 long as the keys agree in the first `MIN_DEPTH` components: where few texts are alike, neighbours share just that; where
 many are, the sort puts those with the longest common prefix side by side, so the depth adapts to each region and a group
-of any size gives a few candidates per member, never all pairs.
+of any size gives a few candidates per member.
 
 Candidates are confirmed on full sets in rounds. A pair inside a component that earlier rounds have linked cannot change
 the result and is skipped; the pairs left are tested, the most similar first, until none joins two components untested.
 
+Neighbours alone lose members of a crowded run, one of more rows with equal first components than a window spans: an
+original whose many copies do not link with each other is the neighbour of a few of them. So every run that is longer than
+a window, or that a partition border may cut, and that still holds several components is compared whole: its rows are cut
+into blocks of bounded size, and all pairs of blocks are tested on full sets, except for pairs of nodes that are in one
+component already. A task returns links of components, fewer than it has components, never pairs. This work grows with the
+square of a run, but only where the run is not linked by its neighbours.
+
 Recall: two texts of similarity s agree in the first four components of some order with probability
-1 - (1 - s^4)^24, which is 0.999997 at 0.8. Neighbours on two sides of a partition border are not compared in that one
-order.
+1 - (1 - s^4)^24, which is 0.999997 at 0.8, if components are independent, and all pairs that agree so are compared.
 
 Defined cases: a text without words, or a missing one, has no shingles and links with nothing; one with fewer words than
 a shingle takes is one shingle; rows with equal ids are one document, linked by any of their texts; a row without an id
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +46,7 @@ MAX_WORDS = 300_000
 SLACK = 0.16  # about four standard deviations of the estimate from COMPONENTS values
 TESTS_PER_ROUND = (1, 4)
 BROADCAST_IDS = 2_000_000  # 16 MB of ids
+BLOCK_NODES, BLOCK_BYTES = 512, 2_000_000
 
 _RANDOM = np.random.default_rng(20240229)
 _A = (_RANDOM.integers(0, 1 << 32, COMPONENTS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -121,19 +129,50 @@ def order_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(spread, "order int, key binary, node long")
 
 
-def neighbour_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct pairs of neighbours in some order whose keys agree in the first components."""
-    head = 2 * MIN_DEPTH
+def order_heads(nodes: DataFrame) -> DataFrame:
+    """A row per node and order: the first components of its sort key as one number."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, COMPONENTS)
+            order = pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n))
+            node = pa.array(np.repeat(batch.column(0).to_numpy(), ORDERS))
+            yield pa.RecordBatch.from_arrays([order, pa.array(_heads(sig).reshape(-1)), node], names=["order", "head", "node"])
+
+    return nodes.select("node", "sig").mapInArrow(spread, "order int, head long, node long")
+
+
+def _heads(sig: np.ndarray) -> np.ndarray:
+    """The first components of every order, node by order."""
+    keys = (sig >> np.uint32(16)).astype(">u2")[:, _ORDER[:, :MIN_DEPTH]]
+    return np.ascontiguousarray(keys).view(np.int64)[:, :, 0]
+
+
+def neighbour_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs of neighbours in some order whose keys agree in the first components, and the runs not covered.
+
+    Those (`order`, `head`) have more rows than a window spans, or stand at a border of a partition, which may cut them.
+    """
+    head, back = 2 * MIN_DEPTH, NEIGHBOURS + 1
+
+    def rows(pairs: np.ndarray, order: np.ndarray, prefix: np.ndarray) -> pa.RecordBatch:
+        ends = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(order), pa.int64())]) for x in pairs]
+        run = [pa.concat_arrays([pa.nulls(pairs.shape[1], k), pa.array(x, k)]) for x, k in ((order, pa.int32()), (prefix, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*ends, *run], names=["a", "b", "order", "head"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, prefix, node = np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        order, prefix, node = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none, first = np.zeros((2, 0), np.int64), True
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             fixed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, 2 * DEPTH)
             order = np.concatenate([order, batch.column(0).to_numpy()])
-            prefix = np.concatenate([prefix, np.ascontiguousarray(fixed[:, :head]).view(np.uint64).reshape(-1)])
+            prefix = np.concatenate([prefix, np.ascontiguousarray(fixed[:, :head]).view(np.int64).reshape(-1)])
             node = np.concatenate([node, batch.column(2).to_numpy()])
             held, found = len(node) - n, []
             for step in range(1, NEIGHBOURS + 1):
@@ -143,12 +182,19 @@ def neighbour_pairs(keys: DataFrame) -> DataFrame:
                 found.append(np.stack([node[later[ok]], node[earlier[ok]]]))
             a, b = np.concatenate(found, axis=1)
             unique = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(unique[0]), pa.array(unique[1])], names=["a", "b"])
-            order, prefix, node = order[-NEIGHBOURS:], prefix[-NEIGHBOURS:], node[-NEIGHBOURS:]
+            later = np.arange(max(back, held), len(node))
+            later = later[(order[later] == order[later - back]) & (prefix[later] == prefix[later - back])]
+            later = later[(np.diff(prefix[later], prepend=~prefix[later[:1]]) != 0) | (np.diff(order[later], prepend=-1) != 0)]
+            later = np.concatenate([np.zeros(int(first), np.int64), later])
+            yield rows(unique, order[later], prefix[later])
+            order, prefix, node, first = order[-back:], prefix[-back:], node[-back:], False
+        yield rows(none, order[-1:], prefix[-1:])
 
     parts = shuffle_partitions(keys.sparkSession)
     sorted_ = keys.repartitionByRange(parts, "order", "key", "node").sortWithinPartitions("order", "key", "node")
-    return sorted_.mapInArrow(pairs, "a long, b long").distinct()
+    found = materialised(sorted_.mapInArrow(pairs, "a long, b long, order int, head long"), "neighbours")
+    runs = found.where("order IS NOT NULL").select("order", "head").distinct()
+    return found.where("order IS NULL").select("a", "b").distinct(), materialised(runs, "runs")
 
 
 def _two_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -241,6 +287,123 @@ def linked_components(candidates: DataFrame, sets: DataFrame, percent: int) -> D
     return labels
 
 
+def mixed_runs(nodes: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (`order`, `head`, `node`, `component`) of the runs that hold several components."""
+    near = F.broadcast(runs) if runs.count() <= BROADCAST_IDS else runs
+    rows = order_heads(nodes).join(near, ["order", "head"], "left_semi").distinct().join(labels, "node", "left")
+    rows = materialised(rows.select("order", "head", "node", F.coalesce("component", "node").alias("component")), "run-rows")
+    mixed = rows.groupBy("order", "head").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    mixed = materialised(mixed.select("order", "head"), "mixed")
+    return rows.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed, ["order", "head"], "left_semi")
+
+
+_PACKED = ("components", "sizes", "sigs", "members")
+
+
+def run_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with sets and signatures packed into blocks of one run, of bounded length and size; `low` and `high` components."""
+    names = ["order", "head", "block", "low", "high", *_PACKED]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
+
+    def packed(held: list[tuple], block: int) -> tuple:
+        order, head, components, sigs, members = zip(*held, strict=True)
+        sizes = np.array([len(m) // 8 for m in members], np.int64)
+        own = np.array(components, np.int64)
+        return order[0], head[0], block, int(own.min()), int(own.max()), own.tobytes(), sizes.tobytes(), b"".join(sigs), b"".join(members)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, weight = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            full = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                size = len(row[-1])
+                if held and (row[:2] != held[0][:2] or len(held) == BLOCK_NODES or weight + size > BLOCK_BYTES):
+                    full.append(packed(held, block))
+                    block, held, weight = block + 1, [], 0
+                held.append(row)
+                weight += size
+            if full:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*full, strict=True), kinds, strict=True)], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(packed(held, block), kinds, strict=True)], names=names)
+
+    by = ["order", "head", "component", "node"]
+    sorted_ = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    schema = "order int, head long, block long, low long, high long, components binary, sizes binary, sigs binary, members binary"
+    return sorted_.select("order", "head", "component", "sig", "members").mapInArrow(gather, schema)
+
+
+def block_links(order: int, x: list[np.ndarray], y: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links of components by the pairs of two blocks (components, sizes, signatures, sets), each link joining two that no earlier one has joined.
+
+    Pairs that agree in the head of an earlier order are left to it.
+    """
+    (own_x, size_x, sig_x, set_x), (own_y, size_y, sig_y, set_y) = x, y
+    head_x, head_y = (_heads(sig.reshape(-1, COMPONENTS))[:, :order] for sig in (sig_x, sig_y))
+    names, local = np.unique(np.concatenate([own_x, own_y]), return_inverse=True)
+    at_x, at_y, joined = local[: len(own_x)], local[len(own_x) :], np.arange(len(names))
+    known, place_y = np.unique(set_y, return_inverse=True)
+    place_x = np.minimum(np.searchsorted(known, set_x), len(known) - 1)
+    place_x = np.where(known[place_x] == set_x, place_x, len(known))
+    ends, starts = np.cumsum(size_x), np.cumsum(size_y) - size_y
+    flags, links = np.zeros(len(known) + 1, bool), []
+    for i in range(len(own_x)):
+        ok = (joined[at_y] != joined[at_x[i]]) & (100 * np.minimum(size_y, size_x[i]) >= percent * np.maximum(size_y, size_x[i]))
+        if same:
+            ok[: i + 1] = False
+        ok[ok] = ~(head_y[ok] == head_x[i]).any(axis=1)
+        if not ok.any():
+            continue
+        mine = place_x[ends[i] - size_x[i] : ends[i]]
+        flags[mine] = True
+        flags[-1] = False
+        both = np.add.reduceat(flags[place_y], starts, dtype=np.int64)
+        flags[mine] = False
+        for j in np.flatnonzero(ok & (100 * both >= percent * (size_x[i] + size_y - both))):
+            p, q = joined[at_x[i]], joined[at_y[j]]
+            if p != q:
+                joined[joined == q] = p
+                links.append((int(own_x[i]), int(own_y[j])))
+    return links
+
+
+def run_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (`component_a`, `component_b`) between the components of a run, from all pairs of its blocks."""
+    kinds = [np.int64, np.int64, np.uint32, np.uint64]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for order, same, *sides in zip(*batch.columns, strict=True):
+                x, y = ([np.frombuffer(v.as_buffer(), k) for v, k in zip(side, kinds, strict=True)] for side in (sides[:4], sides[4:]))
+                links += block_links(order.as_py(), x, y, same.as_py(), percent)
+            ends = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["component_a", "component_b"])
+
+    a, b = (blocks.select("order", "head", *[F.col(c).alias(f"{c}_{e}") for c in ("block", "low", "high")]) for e in ("a", "b"))
+    pairs = a.join(b, ["order", "head"]).where("block_a <= block_b AND least(low_a, low_b) < greatest(high_a, high_b)")
+    pairs = pairs.select("order", "block_a", "block_b").repartition(shuffle_partitions(blocks.sparkSession), "block_a", "block_b")
+    columns = []
+    for end in ("a", "b"):
+        named = [f"{c}_{end}" for c in _PACKED]
+        side = blocks.select(F.col("block").alias(f"block_{end}"), *[F.col(c).alias(n) for c, n in zip(_PACKED, named, strict=True)])
+        pairs, columns = pairs.join(side, f"block_{end}"), columns + named
+    return pairs.select("order", F.expr("block_a = block_b").alias("same"), *columns).mapInArrow(compare, "component_a long, component_b long")
+
+
+def whole_runs(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, runs: DataFrame, labels: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components after all pairs of the given runs that are in different ones are tested on full sets."""
+    rows = materialised(mixed_runs(nodes, runs, labels), "mixed-rows")
+    if rows.isEmpty():
+        return labels
+    sets = shingle_sets(docs, doc_id, text, rows.select("node").distinct(), words).where("length(members) > 0")
+    blocks = materialised(run_blocks(rows.join(sets, "node").join(nodes, "node")), "blocks")
+    over = connected_components(run_links(blocks, percent), "component_a", "component_b")
+    over = over.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    labels = nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return materialised(labels.join(over, "component", "left").select("node", F.coalesce("into", "component").alias("component")), "labels")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: `n_shingles`, `component_id` (smallest id that links reach) and `kept`."""
     signed = materialised(signatures(docs, doc_id, text, words), "signatures")
@@ -248,11 +411,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = materialised(usable.groupBy("print").agg(F.min("doc_id").alias("node")), "prints")
     nodes = usable.join(prints, "print").where(F.col("doc_id") == F.col("node")).dropDuplicates(["print"]).select("node", "sig")
     nodes = materialised(nodes, "nodes")
-    pairs = neighbour_pairs(order_keys(nodes))
+    pairs, runs = neighbour_pairs(order_keys(nodes))
     candidates = materialised(estimated(pairs, nodes, percent / 100), "candidates")
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     sets = materialised(shingle_sets(docs, doc_id, text, wanted, words), "sets")
     labels = linked_components(candidates, sets, percent)
+    labels = whole_runs(docs, doc_id, text, nodes, runs, labels, words, percent)
     classes = materialised(prints.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "classes")
     found = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.coalesce("component", "doc_id")

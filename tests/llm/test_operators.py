@@ -150,6 +150,36 @@ def test_near_duplicates_equal_all_pairs(spark, texts, words):
     assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (want[r["doc_id"]] == r["doc_id"]) for r in got)
 
 
+def hub_copies(n, seed, prefix="h"):
+    """An original and copies that reach 0.8 with it but not with each other, in shingles of five words."""
+    draw = random.Random(seed)
+    base = [f"{prefix}{draw.randrange(10**6)}" for _ in range(404)]
+    out = [" ".join(base)]
+    for k in range(n):
+        words = list(base)
+        for at in draw.sample(range(5, 400, 6), 7):
+            words[at] = f"{prefix}new{k}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def five_word_sets(texts):
+    sets = []
+    for text in texts:
+        tokens = text.encode().lower().split()
+        sets.append({tuple(tokens[k : k + 5]) for k in range(len(tokens) - 4)})
+    return sets
+
+
+def test_hub_of_a_thousand_copies_is_one_component(spark):
+    rows = list(enumerate(hub_copies(1000, 8)))
+    sets = five_word_sets([t for _, t in rows])
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets)
+    assert sum(100 * len(a & b) >= 80 * len(a | b) for a, b in itertools.combinations(sets[1:300], 2)) == 0
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
 def test_embedding_links_equal_all_pairs(spark, monkeypatch):
     from tallyfield.llm import embedding_dedup
 
