@@ -43,14 +43,16 @@ class Detection:
     rule: LicenseRule
 
 
-# Label, name as it stands in running text, identifier, and keyword, all as words without punctuation.
+# Label, name as it stands in running text, identifier (None if another row has it), and keyword, all as
+# words without punctuation. Every alternative of a name holds the keyword.
 NAMES = (
     ("mit", r"mit(?: x11| expat)?", r"mit", "mit"),
     ("mit-0", r"mit(?: license)? no attribution", r"mit 0", "mit"),
     ("apache-1.0", r"apache(?: software)?(?: license)?(?: version)? 1 0", r"apache 1 0", "apache"),
     ("apache-1.1", r"apache(?: software)?(?: license)?(?: version)? 1 1", r"apache 1 1", "apache"),
     ("apache-2.0", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", r"apache 2 0", "apache"),
-    ("gpl-1.0", r"(?:gnu )?(?:gpl|general public license)(?: version| v)? ?1(?: 0)?", r"gpl 1 0(?: only| or later)?", "gpl"),
+    ("gpl-1.0", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?", r"gpl 1 0(?: only| or later)?", "gpl"),
+    ("gpl-1.0", r"(?:gnu )?general public license(?: version| v)? ?1(?: 0)?", None, "general public"),
     ("gpl-2.0", r"(?:gnu )?gpl ?(?:version |v)?2(?: 0)?", r"gpl 2 0(?: only| or later)?", "gpl"),
     ("gpl-3.0", r"(?:gnu )?gpl ?(?:version |v)?3(?: 0)?", r"gpl 3 0(?: only| or later)?", "gpl"),
     ("gpl-2.0", r"(?:gnu )?general public license (?:version |v)2(?: 0)?", r"gpl 2", "general public"),
@@ -67,7 +69,8 @@ NAMES = (
     ("bsd-2-clause", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)", r"bsd 2 clause", "bsd"),
     ("bsd-3-clause", r"(?:new bsd|revised bsd|modified bsd|bsd 3 clause|3 clause bsd|three clause bsd)", r"bsd 3 clause", "bsd"),
     ("bsd-4-clause", r"(?:original bsd|old bsd|bsd 4 clause|4 clause bsd)", r"bsd 4 clause", "bsd"),
-    ("0bsd", r"(?:zero clause bsd|bsd zero clause|free public)", r"0bsd", "bsd"),
+    ("0bsd", r"(?:zero clause bsd|bsd zero clause)", r"0bsd", "bsd"),
+    ("0bsd", r"free public", None, "free public"),
     ("isc", r"isc", r"isc", "isc"),
     ("mpl-1.1", r"mozilla public license(?: version| v)? 1 1", r"mpl 1 1", "mozilla"),
     ("mpl-2.0", r"mozilla public license(?: version| v)? 2(?: 0)?", r"mpl 2 0", "mozilla"),
@@ -91,7 +94,8 @@ NAMES = (
     ("sspl-1.0", r"server side public", r"sspl 1 0", "server side"),
     ("elastic-2.0", r"elastic", r"elastic 2 0", "elastic"),
     ("unlicense", r"(?:the )?unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"(?:wtfpl|do what the fuck you want to public)", r"wtfpl", "wtf"),
+    ("wtfpl", r"wtfpl", r"wtfpl", "wtf"),
+    ("wtfpl", r"do what the fuck you want to public", None, "want to public"),
     ("ms-pl", r"microsoft public", r"ms pl", "microsoft"),
     ("ms-rl", r"microsoft reciprocal", r"ms rl", "microsoft"),
     ("python-2.0", r"python(?: software foundation)?", r"python 2 0", "python"),
@@ -149,6 +153,7 @@ def license_rules() -> tuple[LicenseRule, ...]:
         LicenseRule(label, form.format(id=id_, name=name), keyword if "{name}" in form else "licen", priority)
         for label, name, id_, keyword in NAMES
         for form, priority in FORMS
+        if id_ is not None or "{id}" not in form
     ]
     return (*base, *named, *(LicenseRule(label, text, keyword, 100) for label, text, keyword in SENTENCES))
 

@@ -255,6 +255,46 @@ def test_license_gate_loses_no_match(texts):
         assert set(scan.detect(words)) == brute
 
 
+def examples(parsed):
+    """All texts that a rule's expression stands for."""
+    out = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            each = [chr(value)]
+        elif kind == "IN":
+            each = [chr(c) for k, v in value for c in (range(v[0], v[1] + 1) if str(k) == "RANGE" else [v])]
+        elif kind == "BRANCH":
+            each = [t for branch in value[1] for t in examples(branch)]
+        elif kind == "SUBPATTERN":
+            each = examples(value[-1])
+        else:
+            assert kind == "MAX_REPEAT" and value[:2] == (0, 1), kind
+            each = ["", *examples(value[2])]
+        out = [a + b for a in out for b in each]
+    return out
+
+
+def test_every_alternative_holds_its_keyword():
+    from re import _parser
+
+    for rule in license_scan.license_rules():
+        assert all(rule.keyword in t for t in examples(_parser.parse(rule.pattern))), rule
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("licensed under the Free Public License", "0bsd"),
+        ("Do What The Fuck You Want To Public License", "wtfpl"),
+        ("licensed under the GNU General Public License version 1", "gpl-1.0"),
+    ],
+)
+def test_license_names_without_an_abbreviation(text, label):
+    scan = license_scan.Scanner(license_scan.license_rules())
+    assert label in {d.rule.label for d in license_scan.unsuppressed(scan.detect(scan.words(text)))}
+
+
 def test_license_suppression():
     scan = license_scan.Scanner(license_scan.license_rules())
     found = scan.detect(scan.words("Licensed under the GNU Lesser General Public License"))
