@@ -359,3 +359,14 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert {r["doc_id"] for r in third} == set(brute_components(sets, linked).values())
     pieces = corpus_pipeline.packing(spark, spark.createDataFrame(third, docs.schema), FOLDER).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in third}
+
+
+def test_pipeline_stage_keeps_one_document_of_a_hub_group(spark):
+    import corpus_pipeline
+
+    rows = [(k, t) for k, t in enumerate(hub_copies(400, 9))] + [(1000, "a document of its own about other things")]
+    sets = five_word_sets([t for _, t in rows[:401]])
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets)
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for a, b in itertools.combinations(sets[1:], 2))
+    stage = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert sorted(r["doc_id"] for r in stage.collect()) == [0, 1000]
