@@ -1,6 +1,7 @@
 """Operators against brute force, the tokenizers library, and held-out documents."""
 
 import itertools
+import math
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 
 from tallyfield.llm import language_id, license_scan
 from tallyfield.llm.embedding_dedup import link_embeddings
-from tallyfield.llm.minhash_dedup import near_duplicates
+from tallyfield.llm.minhash_dedup import COMPONENTS, least_equal, near_duplicates
 from tallyfield.llm.packing import best_fit, library_words, pack_documents
 from tallyfield.llm.sharding import shard_documents, write_shards
 from tallyfield.llm.token_rollups import Rollup, bpe_counted, counted, deletes, inserts, revisions, word_count
@@ -180,6 +181,12 @@ def test_hub_of_a_thousand_copies_is_one_component(spark):
     assert {r["component_id"] for r in got} == {0} and [r["doc_id"] for r in got if r["kept"]] == [0]
 
 
+def test_estimate_loses_less_than_the_orders_miss():
+    for s in (0.8, 0.81, 0.9):
+        lost = sum(math.comb(COMPONENTS, k) * s**k * (1 - s) ** (COMPONENTS - k) for k in range(least_equal(0.8)))
+        assert lost < (1 - 0.8**4) ** 24
+
+
 def test_embedding_links_equal_all_pairs(spark, monkeypatch):
     from tallyfield.llm import embedding_dedup
 
