@@ -28,7 +28,8 @@ ENTRY = "struct<token:string,rule:string,verdict:string,pattern:string,named:boo
 class UrlRule:
     """A regular expression over `host + path` (named rules) or the whole lower-cased URL (patterns).
 
-    `tokens` are runs of a-z and 0-9 that stand as whole tokens in every URL the expression matches.
+    `tokens` are runs of a-z and 0-9 that stand as whole tokens in every URL the expression matches; one at an open end of
+    the expression is none of them, as letters may follow it.
     """
 
     rule: str
@@ -77,17 +78,17 @@ PATTERN_RULES = (
     pattern_rule(r"//adserver\.", "adserver"),
     pattern_rule(r"/ad/banners?/", "ad"),
     pattern_rule(r"/ads/banners?/", "ads"),
-    pattern_rule(r"/banner/[^?#]*\.swf", "banner", "swf"),
+    pattern_rule(r"/banner/[^?#]*\.swf", "banner"),
     pattern_rule(r"/popunder/", "popunder"),
-    pattern_rule(r"/wp-login\.php", "wp", "login", "php"),
+    pattern_rule(r"/wp-login\.php", "wp", "login"),
     pattern_rule(r"/wp-admin/", "wp", "admin"),
     pattern_rule(r"/cgi-bin/formmail", "cgi", "bin"),
-    pattern_rule(r"/xmlrpc\.php", "xmlrpc", "php"),
+    pattern_rule(r"/xmlrpc\.php", "xmlrpc"),
     pattern_rule(r"[?&]adurl=", "adurl"),
     pattern_rule(r"[?&]clickid=", "clickid"),
     pattern_rule(r"[?&]sessionid=[0-9a-f]{16}", "sessionid"),
     pattern_rule(r"[?&]replytocom=\d+", "replytocom"),
-    pattern_rule(r"/calendar/\d{4}/\d{2}/\d{2}/print", "calendar", "print"),
+    pattern_rule(r"/calendar/\d{4}/\d{2}/\d{2}/print", "calendar"),
     pattern_rule(r"/(?:cart|basket)/add(?:/|\?|$)", "add"),
     pattern_rule(r"/account/(?:login|register)", "account"),
 )

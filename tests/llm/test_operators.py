@@ -320,6 +320,15 @@ def test_every_rule_token_stands_in_its_urls():
     assert all(r.tokens for r in (*SITE_RULES, *PATTERN_RULES))
 
 
+def test_no_rule_token_stands_at_an_open_end():
+    import re
+
+    assert not [r for r in PATTERN_RULES if r.tokens and r.pattern.endswith(r.tokens[-1])]
+    for url in ("http://a.com/banner/x.swfx", "http://a.com/wp-login.php5", "http://a.com/xmlrpc.php7", "http://a.com/calendar/2020/01/02/printable"):
+        met = [r for r in PATTERN_RULES if re.search(r.pattern, url)]
+        assert met and all(set(r.tokens) <= set(re.split("[^a-z0-9]+", url)) for r in met)
+
+
 def test_rollup_batches_count_once(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b c", "s", "en"), (2, "d e", "s", "en"), (3, "f", "t", None)], "doc_id long, text string, source string, lang string")
     rows = counted(docs, {"v1": word_count(docs["text"])})
