@@ -13,6 +13,7 @@ from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
 from tallyfield.llm.sharding import shard_documents
 from tallyfield.llm.token_rollups import ROLLUP_SQL, corpus_rollup
+from tallyfield.llm.token_planes import binary_ids
 from tallyfield.llm.url_filters import judge_urls, urls_sql
 from tallyfield.llm.word_bpe import encoded
 from tallyfield.sources.tables import table
@@ -58,6 +59,10 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(documents(spark, folder), with_ids=False)
 
 
+def op13_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    return binary_ids(documents(spark, folder))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
+    "op13_token_planes": op13_token_planes,
 }
 
 ORACLES = {
