@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfield.llm.common import documents
 from tallyfield.llm.embedding_dedup import LINKS_SQL, link_embeddings
+from tallyfield.llm.hard_negatives import NEGATIVES_SQL, hard_negatives
 from tallyfield.llm.language_id import identify
 from tallyfield.llm.license_scan import scan_licenses
 from tallyfield.llm.minhash_dedup import near_duplicates
@@ -59,6 +61,10 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(documents(spark, folder), with_ids=False)
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives(table(spark, folder, "embeddings"), anchor=F.col("id") % 50 == 0, relabelled=7)
+
+
 def op13_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     return binary_ids(documents(spark, folder))
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_token_planes": op13_token_planes,
 }
 
@@ -82,4 +89,5 @@ ORACLES = {
     "op2_embedding_dedup": LINKS_SQL,
     "op7_token_rollups": ROLLUP_SQL,
     "op9_quality_rules": QUALITY_SQL,
+    "op12_hard_negatives": NEGATIVES_SQL,
 }
