@@ -15,6 +15,7 @@ from tallyfield.llm.packing import pack_documents
 from tallyfield.llm.quality_rules import QUALITY_SQL, quality_report
 from tallyfield.llm.sharding import shard_documents
 from tallyfield.llm.token_rollups import ROLLUP_SQL, corpus_rollup
+from tallyfield.llm.spelling_variants import NOISE, VARIANTS_SQL, spelling_variants
 from tallyfield.llm.token_planes import binary_ids
 from tallyfield.llm.url_filters import judge_urls, urls_sql
 from tallyfield.llm.word_bpe import encoded
@@ -61,6 +62,10 @@ def op10_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(documents(spark, folder), with_ids=False)
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(documents(spark, folder), noise=NOISE)
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(table(spark, folder, "embeddings"), anchor=F.col("id") % 50 == 0, relabelled=7)
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_word_bpe": op10_word_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_token_planes": op13_token_planes,
 }
@@ -89,5 +95,6 @@ ORACLES = {
     "op2_embedding_dedup": LINKS_SQL,
     "op7_token_rollups": ROLLUP_SQL,
     "op9_quality_rules": QUALITY_SQL,
+    "op11_spelling_variants": VARIANTS_SQL,
     "op12_hard_negatives": NEGATIVES_SQL,
 }
