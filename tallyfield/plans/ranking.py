@@ -167,6 +167,12 @@ def donor_pairs(rankings: DataFrame, donors: DataFrame) -> DataFrame:
     return tests.join(control, "year").select(F.col("name").alias("pair"), day.alias("date"), "test", "control", "donors")
 
 
+def donor_series(donors: DataFrame) -> DataFrame:
+    """(donor, date, value) per donor and year: its mean score, dated the first of January."""
+    each = donors.groupBy("name", "year").agg(F.avg("total_score").alias("value"))
+    return each.select(F.col("name").alias("donor"), F.make_date(F.col("year").cast("int"), F.lit(1), F.lit(1)).alias("date"), "value")
+
+
 def subscription_periods(subscriptions: DataFrame) -> DataFrame:
     """(pair, pre_end, post_start) per entity: the years before its first renewal, and from then on."""
     renewed = keyed(subscriptions, "parent_account").where((F.col("decision") == 1) & F.col("year").isNotNull() & F.col("name").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.dates import month_start
 from tallyfield.functions.text import split_fields
+from tallyfield.operators.controls import controlled_impact, donor_gram, donor_products, donor_weights, impact_points
 from tallyfield.operators.fits import gompertz_fits
 from tallyfield.operators.impact import align_pairs, impact_summary, regression_impact, sampled_impact, spike_periods
 from tallyfield.plans import enrichment, ranking, repository, subscription
@@ -369,6 +370,71 @@ def h19_ranking(spark, folder):
     return rounded(regression_impact(own).select(*_POINT_COLUMNS))
 
 
+def ranking_controls(spark, folder):
+    """Yearly scores of subscribers with their periods, and the yearly scores of every complete donor."""
+    scores, events = materialised(times(spark, folder), "times"), history(spark, folder)
+    pool = materialised(ranking.donor_pool(scores, events, FIRST_YEAR, LAST_YEAR), "pool")
+    tests = ranking.donor_pairs(scores, pool).select("pair", "date", "test").join(ranking.subscription_periods(events), "pair")
+    return tests, ranking.donor_series(pool)
+
+
+@query("h19_donor_gram", _DONORS + """
+SELECT a.name AS donor_a, b.name AS donor_b, count(*) AS n, round(regr_sxy(a.score, b.score), 6) AS sxy
+FROM donors a JOIN donors b ON a.year = b.year AND a.name <= b.name GROUP BY ALL
+""", "times subscription")
+def h19_gram(spark, folder):
+    """Centred products of every two complete donors."""
+    return rounded(donor_gram(ranking_controls(spark, folder)[1]))
+
+
+@query("h19_donor_products", _DONORS + """,
+spans AS (SELECT regexp_replace(parent_account, '[^0-9a-zA-Z]+', '', 'g') AS pair, make_date(CAST(min(year) AS INTEGER) - 1, 1, 1) AS pre_end
+  FROM subscription WHERE decision = 1 AND year IS NOT NULL AND parent_account IS NOT NULL GROUP BY 1)
+SELECT pair, d.name AS donor, count(*) AS n, round(regr_sxy(test, score), 6) AS sxy
+FROM donor_pairs p JOIN spans USING (pair) JOIN donors d ON make_date(d.year, 1, 1) = p.date WHERE p.date <= pre_end GROUP BY ALL
+""", "times subscription")
+def h19_products(spark, folder):
+    """Centred products of every subscriber's scores before its first renewal with every complete donor's."""
+    return rounded(donor_products(*ranking_controls(spark, folder)))
+
+
+@query("h19_donor_weights")
+def h19_weights(spark, folder):
+    """Which donors speak for a subscriber's scores, and how much: one row per subscriber and donor."""
+    return donor_weights(controlled_impact(*ranking_controls(spark, folder), draws=400, burn=100))
+
+
+@query("h19_controlled_points")
+def h19_controlled(spark, folder):
+    """Scores of subscribers, year by year, against what all donors together predict."""
+    return impact_points(controlled_impact(*ranking_controls(spark, folder), draws=400, burn=100))
+
+
+@query("h19_planted_donors", """
+WITH months AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-06-01', INTERVAL 1 MONTH)) AS DATE) AS date),
+panel AS (SELECT site_key, date, coalesce(sum(downloads), 0) AS value FROM (SELECT DISTINCT site_key FROM downloads_m) CROSS JOIN months
+  LEFT JOIN (SELECT site_key, make_date(years, months, 1) AS date, downloads FROM downloads_m) USING (site_key, date) GROUP BY ALL),
+varied AS (SELECT site_key FROM panel WHERE date <= DATE '2000-12-01' GROUP BY site_key HAVING max(value) > min(value))
+SELECT CAST(site_key AS VARCHAR) AS pair, CAST(unnest([site_key, site_key + 1]) AS VARCHAR) AS donor
+FROM varied WHERE site_key + 1 IN (SELECT site_key FROM varied)
+""", "downloads_m")
+def h19_planted(spark, folder):
+    """Series mixed from two sites' downloads each, with all sites as donors: exactly these two have to be found."""
+    months = F.expr("explode(sequence(DATE '1995-01-01', DATE '2001-06-01', INTERVAL 1 MONTH))")
+    known = tables.downloads_monthly(spark, folder).select("site_key", month_start(F.col("years"), F.col("months")).alias("date"), "downloads")
+    spine = known.select("site_key").distinct().withColumn("date", months)
+    panel = spine.join(known, ["site_key", "date"], "left").groupBy("site_key", "date").agg(F.coalesce(F.sum("downloads"), F.lit(0)).alias("value"))
+    panel = materialised(panel, "panel")
+    pool = panel.select(F.col("site_key").cast("string").alias("donor"), "date", "value")
+    spans = panel.where("date <= DATE '2000-12-01'").groupBy("site_key").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    varied = spans.where("high > low").select("site_key")
+    first = panel.join(varied, "site_key")
+    second = first.select((F.col("site_key") - 1).alias("site_key"), "date", F.col("value").alias("other"))
+    mixed = first.join(second, ["site_key", "date"]).select(F.col("site_key").cast("string").alias("pair"), "date", (2 * F.col("value") - F.col("other") + 30).alias("test"))
+    found = donor_weights(controlled_impact(mixed, pool, "2000-12-01", "2001-01-01", "2001-06-01", draws=100, burn=50))
+    return found.where("inclusion > 0.5").select("pair", "donor")
+
+
 @query("h19_sampled_impact")
 def h19_sampled(spark, folder):
     return sampled_impact(series(spark, folder), PRE_END, POST_START, POST_END)
