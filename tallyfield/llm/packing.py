@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.word_bpe import WordBpe, tokenizer_path
+from tallyfield.llm.word_bpe import END, WordBpe, tokenizer_path
 from tallyfield.session import materialised
 
 WINDOW = 2048
@@ -64,9 +64,53 @@ class LibraryWords(WordBpe):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+class RankedTexts(LibraryWords):
+    """Whole texts of plain characters, merged as byte strings by rank; all other texts go through the cache of words.
+
+    A mark stands behind every piece, and joining the mark to the byte before it comes first, which gives the symbols that
+    end a piece. A token that encodes to itself is made of the same parts wherever it stands, so its bytes stand for its
+    merge; a token that does not encode to itself never comes up and has no rank.
+    """
+
+    PLAIN_TEXT = re.compile(r"[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+    PLAIN_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[!-/:-@\[-`{-~]+")  # of lower-case texts
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+
+        bpe = WordBpe(path)
+        byte_of = {c: b for b, c in enumerate(bpe.alphabet)}
+        mark = MARK.encode()
+
+        def symbols(token: str) -> bytes:
+            body, end = (token[: -len(END)], mark) if token.endswith(END) else (token, b"")
+            return bytes(map(byte_of.__getitem__, body)) + end
+
+        stable = [(int(bpe.made[i]), symbols(t), i) for t, i in bpe.ids.items() if i in bpe.stable_ids and t]
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + mark: 256 + b for b in range(256)}
+        for made, form, _ in sorted(stable):
+            if made >= 0:
+                ranks[form] = len(ranks)
+        ids = np.zeros(len(ranks), "<u4")
+        for _, form, i in stable:
+            ids[ranks[form]] = i
+        self.token_ids = ids
+        self.ranked = tiktoken.Encoding(path, pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        plain, split = self.PLAIN_TEXT.fullmatch, self.PLAIN_PIECE.findall
+        for text in texts:
+            if plain(text) and (self.special_at is None or "<|" not in text):
+                marked = MARK.join([*split(text.lower()), ""])
+                yield self.token_ids[np.array(self.ranked.encode_ordinary(marked), np.int64)].tobytes()
+            else:
+                yield from super().encode_batch([text])
+
+
 @lru_cache(maxsize=2)
 def library_words(path: str) -> LibraryWords:
-    return LibraryWords(path)
+    return RankedTexts(path)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
