@@ -200,7 +200,8 @@ def pack_documents(
     """One row per piece: where it lies in its document and in its sequence; `with_ids` adds its token ids."""
     pieces = materialised(cut_pieces(docs, path or tokenizer_path(), doc_id, text, window, with_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # By the place in the written table, as rows may be equal in everything they hold.
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     fields = [(f.name, f.dataType.simpleString()) for f in pieces.schema.fields]
     schema = ", ".join(f"{n} {t}" for n, t in [*fields, ("sequence_id", "long"), ("offset", "long")])
 
