@@ -7,6 +7,10 @@ long as the keys agree in the first `MIN_DEPTH` components: where few texts are
 many are, the sort puts those with the longest common prefix side by side, so the depth adapts to each region and a group
 of any size gives a few candidates per member.
 
+The orders come in waves. After each wave its candidates are confirmed and linked, and the next wave's rows carry the label
+of their component, so neighbours that earlier waves have joined make no pairs: a large group of copies costs a few pairs
+per member and not some for every order.
+
 Candidates are confirmed on full sets in rounds. A pair inside a component that earlier rounds have linked cannot change
 the result and is skipped; the pairs left are tested, the most similar first, until none joins two components untested.
 
@@ -48,6 +52,7 @@ COMPONENTS = ORDERS * MIN_DEPTH
 MAX_WORDS = 300_000
 ESTIMATE_LOSS = 1e-6  # chance that the estimate drops a pair at the threshold; the orders miss 3.2e-6 at 0.8
 TESTS_PER_ROUND = (1, 4)
+WAVES = ((0, 2), (2, 8), (8, ORDERS))  # first and last order of each wave
 BROADCAST_IDS = 2_000_000  # 16 MB of ids
 BLOCK_NODES, BLOCK_BYTES = 512, 2_000_000
 
@@ -113,8 +118,8 @@ def signatures(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, print binary, sig binary")
 
 
-def order_keys(nodes: DataFrame) -> DataFrame:
-    """A row per node and order: the order's number and its sort key of 16 bits per component."""
+def order_keys(nodes: DataFrame, first: int = 0, last: int = ORDERS) -> DataFrame:
+    """A row per node and order: the order's number, its sort key of 16 bits per component, the node and its component."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,14 +127,14 @@ def order_keys(nodes: DataFrame) -> DataFrame:
             if not n:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, COMPONENTS)
-            keys = (sig >> np.uint32(16)).astype(">u2")[:, _ORDER]  # node, order, component
+            keys = (sig >> np.uint32(16)).astype(">u2")[:, _ORDER[first:last]]  # node, order, component
             flat = np.ascontiguousarray(keys).view(f"S{2 * DEPTH}").reshape(-1)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), len(flat), [None, pa.py_buffer(flat)]).cast(pa.binary())
-            order = pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n))
-            node = pa.array(np.repeat(batch.column(0).to_numpy(), ORDERS))
-            yield pa.RecordBatch.from_arrays([order, raw, node], names=["order", "key", "node"])
+            order = pa.array(np.tile(np.arange(first, last, dtype=np.int32), n))
+            node, component = (pa.array(np.repeat(batch.column(k).to_numpy(), last - first)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([order, raw, node, component], names=["order", "key", "node", "component"])
 
-    return nodes.select("node", "sig").mapInArrow(spread, "order int, key binary, node long")
+    return nodes.select("node", "sig", "component").mapInArrow(spread, "order int, key binary, node long, component long")
 
 
 def order_heads(nodes: DataFrame) -> DataFrame:
@@ -155,20 +160,20 @@ def _heads(sig: np.ndarray) -> np.ndarray:
 
 
 def neighbour_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs of neighbours in some order whose keys agree in the first components, and the runs not covered.
+    """Distinct pairs of neighbours of two components whose keys agree in the first signature components, and the runs not covered.
 
     Those (`order`, `head`) have more rows than a window spans, or stand at a border of a partition, which may cut them.
     """
     head, back = 2 * MIN_DEPTH, NEIGHBOURS + 1
 
     def rows(pairs: np.ndarray, order: np.ndarray, prefix: np.ndarray) -> pa.RecordBatch:
-        ends = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(order), pa.int64())]) for x in pairs]
+        ends = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(order), pa.int64())]) for x in pairs]  # of nodes and components
         run = [pa.concat_arrays([pa.nulls(pairs.shape[1], k), pa.array(x, k)]) for x, k in ((order, pa.int32()), (prefix, pa.int64()))]
-        return pa.RecordBatch.from_arrays([*ends, *run], names=["a", "b", "order", "head"])
+        return pa.RecordBatch.from_arrays([*ends, *run], names=["a", "b", "component_a", "component_b", "order", "head"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, prefix, node = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        none, first = np.zeros((2, 0), np.int64), True
+        order, prefix, node, own = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none, first = np.zeros((4, 0), np.int64), True
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -177,27 +182,34 @@ def neighbour_pairs(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
             order = np.concatenate([order, batch.column(0).to_numpy()])
             prefix = np.concatenate([prefix, np.ascontiguousarray(fixed[:, :head]).view(np.int64).reshape(-1)])
             node = np.concatenate([node, batch.column(2).to_numpy()])
+            own = np.concatenate([own, batch.column(3).to_numpy()])
             held, found = len(node) - n, []
             for step in range(1, NEIGHBOURS + 1):
                 later = np.arange(max(step, held), len(node))
                 earlier = later - step
-                ok = (order[later] == order[earlier]) & (prefix[later] == prefix[earlier]) & (node[later] != node[earlier])
-                found.append(np.stack([node[later[ok]], node[earlier[ok]]]))
-            a, b = np.concatenate(found, axis=1)
-            unique = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                ok = (order[later] == order[earlier]) & (prefix[later] == prefix[earlier]) & (own[later] != own[earlier])
+                later, earlier = later[ok], earlier[ok]
+                swap = node[later] < node[earlier]
+                low, high = np.where(swap, later, earlier), np.where(swap, earlier, later)
+                found.append(np.stack([node[low], node[high], own[low], own[high]]))
+            unique = np.unique(np.concatenate(found, axis=1), axis=1)
             later = np.arange(max(back, held), len(node))
             later = later[(order[later] == order[later - back]) & (prefix[later] == prefix[later - back])]
             later = later[(np.diff(prefix[later], prepend=~prefix[later[:1]]) != 0) | (np.diff(order[later], prepend=-1) != 0)]
             later = np.concatenate([np.zeros(int(first), np.int64), later])
             yield rows(unique, order[later], prefix[later])
-            order, prefix, node, first = order[-back:], prefix[-back:], node[-back:], False
+            order, prefix, node, own, first = order[-back:], prefix[-back:], node[-back:], own[-back:], False
         yield rows(none, order[-1:], prefix[-1:])
 
     parts = shuffle_partitions(keys.sparkSession)
     sorted_ = keys.repartitionByRange(parts, "order", "key", "node").sortWithinPartitions("order", "key", "node")
-    found = materialised(sorted_.mapInArrow(pairs, "a long, b long, order int, head long"), "neighbours")
+    schema = "a long, b long, component_a long, component_b long, order int, head long"
+    found = materialised(sorted_.mapInArrow(pairs, schema), "neighbours")
     runs = found.where("order IS NOT NULL").select("order", "head").distinct()
-    return found.where("order IS NULL").select("a", "b").distinct(), materialised(runs, "runs")
+    return found.where("order IS NULL").select("a", "b", "component_a", "component_b").distinct(), materialised(runs, "runs")
+
+
+_ENDS = ("a", "b", "component_a", "component_b")
 
 
 def _two_sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -223,13 +235,14 @@ def estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
             n = batch.num_rows
             if not n:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(n, COMPONENTS) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(n, COMPONENTS) for k in (4, 5))
             same = (x == y).sum(axis=1).astype(np.int32)
             ok = same >= least
-            columns = [batch.column(k).filter(pa.array(ok)) for k in (0, 1)] + [pa.array(same[ok])]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "same"])
+            columns = [batch.column(k).filter(pa.array(ok)) for k in range(4)] + [pa.array(same[ok])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_ENDS, "same"])
 
-    return _two_sides(pairs, nodes, "sig").select("a", "b", "sig_a", "sig_b").mapInArrow(estimate, "a long, b long, same int")
+    both = _two_sides(pairs, nodes, "sig").select(*_ENDS, "sig_a", "sig_b")
+    return both.mapInArrow(estimate, "a long, b long, component_a long, component_b long, same int")
 
 
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, words: int) -> DataFrame:
@@ -266,36 +279,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_components(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (`node`, `component`) of the candidates that full sets confirm; nodes without a candidate are absent.
+    """`component`, `into` for the components of the candidates after the links that full sets confirm.
 
-    `candidates` has `a`, `b`, `same`. Round after round, the pairs that still join two components are tested, the best
-    ones of each component first, all of them in the end.
+    `candidates` has the ends `a`, `b`, their components and `same`. Round after round, the pairs that still join two
+    components are tested, the best ones of each component first, all of them in the end.
     """
-    labels = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    labels = labels.select("node", F.col("node").alias("component"))
-    crossing = candidates.select("a", "b", "same", F.col("a").alias("component_a"), F.col("b").alias("component_b"))
+    crossing = candidates.select(*_ENDS, "same")
+    labels = crossing.select(F.col("component_a").alias("component")).union(crossing.select("component_b")).distinct()
+    labels = labels.select("component", F.col("component").alias("into"))
     for tests in (*TESTS_PER_ROUND, None):
         chosen = crossing
         if tests is not None:
-            sides = [crossing.select("a", "b", "component_a", "component_b", "same", F.col(f"component_{e}").alias("component")) for e in ("a", "b")]
+            sides = [crossing.select(*_ENDS, "same", F.col(f"component_{e}").alias("component")) for e in ("a", "b")]
             best = Window.partitionBy("component").orderBy(F.desc("same"), "a", "b")
             ranked = sides[0].union(sides[1]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= tests)
-            chosen = materialised(ranked.select("a", "b", "component_a", "component_b").distinct(), "chosen")
+            chosen = materialised(ranked.select(*_ENDS).distinct(), "chosen")
         links = confirmed(chosen, sets, percent)
-        merged = connected_components(links, "component_a", "component_b")
-        over = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
-        labels = labels.join(over, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        merged = materialised(connected_components(links, "component_a", "component_b"), "merged")
+        over = merged.select(F.col("node").alias("into"), F.col("component").alias("next"))
+        labels = labels.join(over, "into", "left").select("component", F.coalesce("next", "into").alias("into"))
         labels = materialised(labels, "labels")
         if tests is None:
             break
-        left = crossing.select("a", "b", "same").join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-        left = _two_sides(left, labels, "component").where("component_a <> component_b")
-        crossing = materialised(left.select("a", "b", "same", "component_a", "component_b"), "crossing")
+        left = crossing.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            side = merged.select(F.col("node").alias(f"component_{end}"), F.col("component").alias("next"))
+            left = left.join(side, f"component_{end}", "left").withColumn(f"component_{end}", F.coalesce("next", f"component_{end}")).drop("next")
+        crossing = materialised(left.where("component_a <> component_b").select(*_ENDS, "same"), "crossing")
         if crossing.isEmpty():
             break
     return labels
 
 
+def waves(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components of all nodes (`node`, `component`) after all orders, and the runs that neighbours do not cover."""
+    labels, runs = nodes.select("node", F.col("node").alias("component")), None
+    for first, last in WAVES:
+        pairs, more = neighbour_pairs(order_keys(nodes.join(labels, "node"), first, last))
+        runs = more if runs is None else runs.union(more)
+        candidates = materialised(estimated(pairs, nodes, percent / 100), "candidates")
+        if candidates.isEmpty():
+            continue
+        wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+        sets = materialised(shingle_sets(docs, doc_id, text, wanted, words), "sets")
+        over = linked_components(candidates, sets, percent)
+        labels = labels.join(over, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        labels = materialised(labels, "labels")
+    return labels, runs
+
+
 def mixed_runs(nodes: DataFrame, runs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (`order`, `head`, `node`, `component`) of the runs that hold several components."""
     near = F.broadcast(runs) if runs.count() <= BROADCAST_IDS else runs
@@ -420,11 +452,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = materialised(usable.groupBy("print").agg(F.min("doc_id").alias("node")), "prints")
     nodes = usable.join(prints, "print").where(F.col("doc_id") == F.col("node")).dropDuplicates(["print"]).select("node", "sig")
     nodes = materialised(nodes, "nodes")
-    pairs, runs = neighbour_pairs(order_keys(nodes))
-    candidates = materialised(estimated(pairs, nodes, percent / 100), "candidates")
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    sets = materialised(shingle_sets(docs, doc_id, text, wanted, words), "sets")
-    labels = linked_components(candidates, sets, percent)
+    labels, runs = waves(docs, doc_id, text, nodes, words, percent)
     labels = whole_runs(docs, doc_id, text, nodes, runs, labels, words, percent)
     classes = materialised(prints.join(labels, "node", "left").select("print", F.coalesce("component", "node").alias("component")), "classes")
     found = signed.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
