@@ -450,7 +450,7 @@ FROM (SELECT pair, CAST(count(*) FILTER (date <= DATE '1998-12-01') AS INTEGER)
 def h19_status(spark, folder):
     """The parts of the sampled form that rules decide."""
     known = series(spark, folder).where(F.col("test").isNotNull() & F.col("control").isNotNull())
-    return sampled_impact(known, PRE_END, POST_START, POST_END, draws=50).select("pair", "status", "n_pre", "n_post")
+    return sampled_impact(known, PRE_END, POST_START, POST_END).select("pair", "status", "n_pre", "n_post")
 
 
 @query("h20_gompertz_recovery", """
@@ -482,7 +482,7 @@ def h20_status(spark, folder):
     """Number of points per site and the failures that a rule states."""
     message = F.col("message")
     stated = F.when(message.isin("too few distinct points", "constant response"), message).otherwise("fitted or not")
-    return gompertz_fits(content_repo(spark, folder), rounds=5).select("site_key", "n", stated.alias("rule")).distinct()
+    return gompertz_fits(content_repo(spark, folder)).select("site_key", "n", stated.alias("rule")).distinct()
 
 
 @query("h20_gompertz_fits")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators.fits import gompertz_fits
+from tallyfield.operators.fits import _two_sided_p, gompertz_fit_many, gompertz_fits
 from tallyfield.operators.impact import impact_summary, regression_impact, sampled_impact
 from tallyfield.plans import ranking, repository
 
@@ -118,6 +118,46 @@ def test_gompertz_recovers_known_curves(spark):
     assert failed == {3: "constant response", 4: "too few distinct points"}
 
 
+def test_fits_that_advance_together_equal_fits_alone():
+    rng = np.random.default_rng(3)
+    series = []
+    for k in range(40):
+        x = np.sort(rng.uniform(0, 3000, rng.integers(3, 60)))
+        curve = 50 * np.exp(-rng.uniform(1, 8) * np.exp(-rng.uniform(1, 6) * x / 3000))
+        series.append((x, curve + rng.normal(0, [0.5, 20, 0][k % 3], len(x))))
+    series += [(np.arange(9.0), np.ones(9)), (np.arange(30.0), np.arange(30.0) ** 2), (np.arange(30.0), -np.arange(30.0))]
+    together = gompertz_fit_many(series, 500)
+    for pair, found in zip(series, together, strict=True):
+        (alone,) = gompertz_fit_many([pair], 500)
+        if isinstance(found, str):
+            assert found == alone
+        else:
+            for a, b in zip(found, alone, strict=True):
+                assert np.allclose(a, b, rtol=1e-6)
+    kinds = {f for f in together if isinstance(f, str)}
+    assert {"too few distinct points", "constant response"} <= kinds and sum(not isinstance(f, str) for f in together) >= 25
+    assert gompertz_fit_many([]) == []
+
+
+def test_running_parameters_are_told_and_keys_stay_whole(spark):
+    x = np.arange(1.0, 40.0)
+    big = (1 << 53) + 1
+    data = [(big, float(v), float(np.exp(v / 3))) for v in x] + [(None, float(v), float(9 - v)) for v in x] + [(7, float(v), None) for v in x]
+    got = gompertz_fits(spark.createDataFrame(data, "site_key long, cum_uploads double, downloads double"), rounds=300).collect()
+    assert {r["site_key"] for r in got} == {big, None, 7}
+    messages = {r["site_key"]: r["message"] for r in got if r["status"] == "failed"}
+    assert messages[7] == "too few distinct points"
+    # an exponential has no ceiling: the height runs off, and the site says so
+    assert messages[big] in ("singular gradient", "no step lowers the loss", "not settled after 300 steps")
+
+
+def test_tail_of_student_t():
+    # Tables of Student's t, two-sided 5 % points.
+    for df, t in {1: 12.7062047, 2: 4.30265273, 5: 2.57058184, 30: 2.04227246, 200: 1.97189622}.items():
+        assert _two_sided_p(t, df) == pytest.approx(0.05, rel=1e-6) == _two_sided_p(-t, df)
+    assert _two_sided_p(0.0, 9) == pytest.approx(1.0) and _two_sided_p(math.inf, 9) == 0.0 and 0 < _two_sided_p(60.0, 77) < 1e-60
+
+
 def _step_series(step, seed=0):
     rng = np.random.default_rng(seed)
     dates = [dt.date(y, m, 1) for y, m in months(80)]
