@@ -84,8 +84,8 @@ _ENRICHED = f"""
 WITH RECURSIVE named AS (SELECT row_id, decision, p_name AS account_name,
     CASE WHEN parent_account IS NOT NULL THEN substr(p_name, 1, 2) || substr(p_name, 4, 1) || substr(p_name, 3, 1) || substr(p_name, 5) END AS parent_account
   FROM subscription LEFT JOIN part ON p_partkey = account_id),
-institutions AS (SELECT DISTINCT p_name AS institution FROM part WHERE p_name < 'm'),
-listed_sites AS (SELECT DISTINCT p_name || ' org' AS site FROM part WHERE p_name >= 'g'),
+institutions AS (SELECT DISTINCT p_name || CASE WHEN length(p_name) % 2 = 0 THEN ' institute' ELSE '' END AS institution FROM part),
+listed_sites AS (SELECT DISTINCT p_name || CASE WHEN length(p_name) % 3 = 0 THEN ' academic press' ELSE ' org' END AS site FROM part),
 near AS (SELECT DISTINCT parent_account AS a, institution AS b FROM named, institutions WHERE abs(length(parent_account) - length(institution)) <= 2
   UNION SELECT DISTINCT account_name, site FROM named, listed_sites WHERE abs(length(account_name) - length(site)) <= 4),
 {osa_ctes("SELECT a, b FROM near WHERE a IS NOT NULL AND levenshtein(a, b) <= 8")},
@@ -95,7 +95,10 @@ s AS (SELECT a, b, dist FROM osa JOIN listed_sites ON b = site WHERE dist <= 4)
 
 
 def enrichment_tables(spark, folder):
-    """History with part names for accounts and swapped ones for parents, and two lists that lack many of them."""
+    """History with part names for accounts and swapped ones for parents, and two lists of all parts under names of their own.
+
+    Names of some lengths carry an ending that no threshold bridges, so every scale has misses.
+    """
     part = tables.table(spark, folder, "part")
     name = F.col("p_name")
     swapped = F.concat(F.substring(name, 1, 2), F.substring(name, 4, 1), F.substring(name, 3, 1), F.substr(name, F.lit(5)))
@@ -103,8 +106,9 @@ def enrichment_tables(spark, folder):
     named = events.join(part.select("p_partkey", "p_name"), events["account_id"] == part["p_partkey"], "left").select(
         "row_id", "decision", name.alias("account_name"), F.when(F.col("parent_account").isNotNull(), swapped).alias("parent_account")
     )
-    institutions = part.where("p_name < 'm'").select(name.alias("institution")).distinct()
-    return named, institutions, part.where("p_name >= 'g'").select(F.concat(name, F.lit(" org")).alias("site")).distinct()
+    length = F.char_length(name)
+    institutions = part.select(F.concat(name, F.when(length % 2 == 0, " institute").otherwise("")).alias("institution")).distinct()
+    return named, institutions, part.select(F.concat(name, F.when(length % 3 == 0, " academic press").otherwise(" org")).alias("site")).distinct()
 
 
 @query("h1_enriched_history", _ENRICHED + """
