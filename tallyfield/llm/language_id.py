@@ -262,13 +262,19 @@ def predicted(scores: RunScores | None, bodies: pa.Array) -> tuple[list[str], li
 
 
 def accepted(docs: DataFrame, min_score: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows, all columns as they are, whose language is known with at least `min_score`."""
+    """The rows, all columns as they are, whose language is known with at least `min_score`.
+
+    Where nothing is labelled there is nothing to judge by, and every row with a letter in its text stays.
+    """
     model = fit(docs, doc_id, text, lang)
     at = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = None if model is None else RunScores(model)
         for batch in batches:
+            if scores is None:
+                yield batch.filter(pa.array([bool(t and runs_of(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             langs, best = predicted(scores, batch.column(at))
             yield batch.filter(pa.array([g != UNKNOWN and s >= min_score for g, s in zip(langs, best, strict=True)], pa.bool_()))
 

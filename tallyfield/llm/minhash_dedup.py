@@ -26,8 +26,9 @@ Recall: two texts of similarity s agree in the first four components of some ord
 estimate drops a neighbour pair at the threshold with a probability below 1e-6, so the whole chain finds 0.999996 of them.
 
 Defined cases: a text without words, or a missing one, has no shingles and links with nothing; one with fewer words than
-a shingle takes is one shingle; rows with equal ids are one document, linked by any of their texts; a row without an id
-links with nothing, has no component and is kept; an empty table gives no rows; other columns never take part.
+a shingle takes is one shingle; rows with equal ids are judged by their own texts, so an id with several texts may have
+several components, and links of one do not join those of another; a row without an id links with nothing, has no component
+and is kept; an empty table gives no rows; other columns never take part.
 """
 
 from __future__ import annotations

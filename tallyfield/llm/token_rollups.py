@@ -8,8 +8,9 @@ A rollup is a folder with one small table per committed batch. A batch counts on
 success file); committing a batch that is complete already does nothing, and one that broke off is written anew. Totals
 are the sum over all complete batches and do not depend on their order.
 
-Defined cases: a missing text has no tokens; missing sources, languages and ids are values of their own; repeated rows
-count one by one; totals of zero documents and zero tokens vanish; other columns never take part.
+Defined cases: a missing text has no tokens; missing sources and languages are values of their own; rows without an id
+count like others in every batch, but the corpus rollup's last batch, which keeps the smallest id of each text, takes them
+out; repeated rows count one by one; totals of zero documents and zero tokens vanish; other columns never take part.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyfield.llm.embedding_dedup import link_embeddings
-from tallyfield.llm.language_id import identify
+from tallyfield.llm.language_id import accepted, identify
 from tallyfield.llm.license_scan import scan_licenses
 from tallyfield.llm.minhash_dedup import deduplicated, near_duplicates
 from tallyfield.llm.packing import pack_documents
@@ -159,3 +159,16 @@ def test_pipeline_takes_odd_rows(spark, docs, none):
             df = stage(spark, df, "")
             assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert {"doc_id", "sequence_id"} <= set(corpus_pipeline.STAGES[-1][1](spark, df, "").columns)
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "", None), (5, "é", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in accepted(docs).collect()) == [1, 5]
+
+
+def test_one_id_with_several_texts_is_judged_text_by_text(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (2, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (2, 2, True), (5, 1, False), (5, 2, False)]
