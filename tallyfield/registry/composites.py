@@ -10,10 +10,11 @@ from tallyfield.operators.controls import controlled_impact, donor_gram, donor_p
 from tallyfield.operators.fits import gompertz_fits
 from tallyfield.operators.impact import align_pairs, impact_summary, regression_impact, sampled_impact, spike_periods
 from tallyfield.plans import enrichment, ranking, repository, subscription
+from tallyfield.plans.crawl_state import CrawlState
 from tallyfield.registry.cleaning import content_repo, rounded
 from tallyfield.registry.core import query
 from tallyfield.registry.views import osa_ctes
-from tallyfield.session import materialised
+from tallyfield.session import materialised, work_path
 from tallyfield.sources import tables
 
 ASSET = "Repository"
@@ -511,3 +512,24 @@ FROM hosts JOIN landed USING (host)
 """, "hosts")
 def h22(spark, folder):
     return crawl(spark, folder)
+
+
+@query("h22_crawl_rounds", """
+WITH rounds AS (SELECT host, html LIKE '%<title>%' AS titled, length(html) AS size FROM hosts JOIN pages USING (page_id)),
+done AS (SELECT host, bool_or(titled AND size % 2 = 0) AS first, bool_or(titled AND size % 3 = 0) AS second, bool_or(titled) AS third FROM rounds GROUP BY host)
+SELECT host, CASE WHEN first OR second OR third THEN 'success' ELSE 'try' END AS status, CAST(CASE WHEN first THEN 1 WHEN second THEN 2 ELSE 3 END AS BIGINT) AS tries,
+  CASE WHEN NOT (first OR second OR third) THEN 'no luck in round 3' END AS reason, 1::BIGINT AS first_run,
+  CAST(CASE WHEN first THEN 1 WHEN second THEN 2 ELSE 3 END AS BIGINT) AS last_run
+FROM done
+""", "hosts")
+def h22_rounds(spark, folder):
+    """Three rounds over the listed hosts, each at those still open; later rounds accept more pages. The second is sent twice."""
+    pages = tables.table(spark, folder, "pages")
+    hosts = enrichment.listed_hosts(pages.select("page_id", split_fields(F.col("url")).alias("parts"))).select("page_id", "host")
+    landed = hosts.join(pages.select("page_id", "html"), "page_id")
+    titled, size = F.contains("html", F.lit("<title>")), F.char_length("html")
+    state = CrawlState(spark, work_path(spark, "crawl"))
+    for run, accepted in ((1, titled & (size % 2 == 0)), (2, titled & (size % 3 == 0)), (2, titled), (3, titled)):
+        tried = landed.join(state.open_hosts(hosts), "host", "left_semi")
+        state.record(run, tried.select("host", F.when(~F.coalesce(accepted, F.lit(False)), F.lit(f"no luck in round {run}")).alias("reason")))
+    return state.current()
