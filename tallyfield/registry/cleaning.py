@@ -27,6 +27,7 @@ from tallyfield.plans.repository import monthly_panel
 from tallyfield.registry.core import query
 from tallyfield.session import work_path
 from tallyfield.sources import files, tables
+from tallyfield.sources.landing import Landing
 
 
 def rounded(df, digits: int = 6):
@@ -75,6 +76,23 @@ def a2_files(spark, folder):
     return files.read_ranking_payload(spark, path, tables.PAYLOAD_ROW).select(*_PAYLOAD_COLUMNS)
 
 
+@query("a2_landing_manifest", """
+SELECT CAST(year AS INTEGER) AS year, count(*) AS n, 0::BIGINT AS read_again, 1::BIGINT AS broken FROM payload GROUP BY year
+""", "payload")
+def a2_landing(spark, folder):
+    """Documents landed twice and once more with a file that breaks off: entries by year, files read again, broken files."""
+    path, state = work_path(spark, "payload-landed"), Landing(spark, work_path(spark, "landing"), tables.PAYLOAD_ROW)
+    documents = payload_documents(spark, folder)
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+    state.take(path)
+    again = state.take(path)
+    half = documents.limit(1).select(F.substring(F.to_json(F.struct("data")), 1, 40).alias("value"))
+    half.coalesce(1).write.mode("append").text(path)
+    state.take(path)
+    broken = state.broken().agg(F.count(F.lit(1))).scalar()
+    return state.rows().groupBy("year").agg(F.count(F.lit(1)).alias("n")).select("year", "n", F.lit(again).cast("long").alias("read_again"), broken.alias("broken"))
+
+
 @query("a3_field_lines", """
 SELECT trim(split_part(line, ',', 1)) AS first_part, trim(split_part(line, ',', 2)) AS second_part,
   CAST(len(string_split(line, ',')) AS INTEGER) AS n_parts
