@@ -1,16 +1,22 @@
 """Ordered windows.
 
 Two kinds of group occur. A *panel* holds one row per entity and calendar period, so its groups are bounded by the
-calendar and a native window is right. A *ledger* holds any number of rows per entity; there the rows are summarised
-per day (and per slice of the row id within a day) before anything is ordered, so no task ever holds a whole entity.
+calendar and a native window is right. A *ledger* holds any number of rows per entity; there the rows are cut into ranges
+of equal size, whatever entities they cut through, and sums are carried over the borders, so no task holds a whole entity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyfield.operators.joins import null_safe_join
 from tallyfield.session import materialised
@@ -64,55 +70,95 @@ def change_from_previous(df: DataFrame, value: str, keys: Sequence[str], order:
     return df.withColumn(out, F.col(value) - F.lag(value).over(w))
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Rows in partitions of near equal size, cut in (keys, order) order wherever a sample of the rows says, and sorted.
+
+    A cut may fall inside an entity or a day, so neither a hot entity nor an outlier among the ids fills a partition.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // slice_rows))
+    by = [*[F.asc(k) for k in keys], *_ascending(order)]
+    return df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+
+
+def _key_changes(held: list[pa.Array], columns: list[pa.Array]) -> np.ndarray:
+    """Whether the keys of each row differ from those of the row before; `held` is the row before the first, if any."""
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = not held
+    for k, column in enumerate(columns):
+        both = pa.concat_arrays([held[k] if held else column[:1], column])
+        new |= np.diff(both.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)) != 0
+    return new
+
+
+def _sums_per_stretch(values: np.ndarray, new: np.ndarray, carried: Any) -> np.ndarray:
+    """Running sums that start anew where `new` is set; a first stretch that does not goes on from `carried`."""
+    values = values.copy()
+    if not new[0]:
+        values[0] += carried
+    for start, end in pairwise([*np.unique([0, *np.flatnonzero(new)]), len(values)]):
+        values[start:end] = np.cumsum(values[start:end])
+    return values
+
+
+def _local_sums(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of `ranged` with `__part`, the partition, and the running `__sum` and count of `__gaps` of their entity in it.
+
+    A task holds one batch and the last row's keys and sums, however long an entity is.
+    """
+    summed = rows.select(F.sum(value)).schema[0].dataType
+    with_value = rows.withColumns({"__sum": F.coalesce(F.col(value), F.lit(0)).cast(summed), "__gaps": F.col(value).isNull().cast("long")})
+    at = [rows.columns.index(k) for k in keys]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, last = TaskContext.get().partitionId(), [], [0, 0]
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            columns, own = list(batch.columns), [batch.column(k) for k in at]
+            new = _key_changes(held, own)
+            for place, k in enumerate((-2, -1)):
+                running = _sums_per_stretch(columns[k].to_numpy(zero_copy_only=False), new, last[place])
+                last[place] = running[-1]
+                columns[k] = pa.array(running, columns[k].type)
+            held = [c[-1:] for c in own]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(n, part, np.int32))], names=[*batch.schema.names, "__part"])
+
+    return with_value.mapInArrow(sums, StructType([*with_value.schema.fields, StructField("__part", IntegerType())]))
+
+
 def ledger_running_total(
     df: DataFrame, value: str, keys: Sequence[str], day: str, row_id: str, out: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Running sum over ledger rows in (day, row id) order, missing from the first missing value on.
 
-    `row_id` has to be a unique integer. The range of ids is cut into as many slices as the table has `slice_rows`, so
-    sparse ids (hashes, times) are sliced like dense ones, and a slice bounds every window group even when one entity
-    holds most rows on one day. Three levels add up: rows before in the slice, slices before in the day, days before in
-    the entity. Only the first level moves full rows, and it moves them once.
+    `row_id` has to be unique. Full rows move once, into ranges of (keys, day, row id) whose borders follow a sample of the
+    rows, and every range sums its own rows in order. An entity that crosses a border is the first of its next range and the
+    first or last of all others, so the sums that it brings along come from a table of at most two rows per range, and at
+    most one row per range goes back to the rows. Missing keys are an entity of their own, a missing day comes last.
     """
-    low, high, n = df.agg(F.min(row_id), F.max(row_id), F.count(row_id)).first()
-    width = 1.0 if not n else max(1.0, (high - low + 1) / -(-n // slice_rows))
-    # Rounding keeps the order of ids, so slices are in order as well.
-    part = F.floor((F.col(row_id).cast("double") - F.lit(float(low or 0))) / F.lit(width))
-    # A struct is never NULL itself and equals another one field by field, NULLs included. Grouping, windows and the
-    # join therefore agree on one key, and the join finds the rows already partitioned by it.
-    rows = df.withColumn("__slice", F.struct(*keys, day, part.alias("__part")))
-    missing = F.count_if(F.col(value).isNull())
-    slices = (
-        rows.groupBy("__slice")
-        .agg(F.sum(value).alias("__sum"), missing.alias("__missing"))
-        .withColumn("__day", F.struct(*[F.col(f"__slice.{c}").alias(c) for c in (*keys, day)]))
-    )
-    before_slice = (
-        Window.partitionBy("__day").orderBy("__slice.__part").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    local = materialised(_local_sums(ranged(df, keys, [day, row_id], slice_rows), value, keys), "ledger")
+    # A struct is never NULL itself and equals another one field by field, NULLs included, and sorts as the rows do.
+    keyed = local.select("__part", F.struct(*keys).alias("__key"), F.col(value).alias("__value"))
+    ends = keyed.groupBy("__part").agg(F.min("__key").alias("__first"), F.max("__key").alias("__last"))
+    totals = (
+        keyed.join(F.broadcast(ends), "__part")
+        .where((F.col("__key") == F.col("__first")) | (F.col("__key") == F.col("__last")))
+        .groupBy("__part", "__key")
+        .agg(F.sum("__value").alias("__brought"), F.count_if(F.col("__value").isNull()).alias("__missing"))
     )
-    slice_offsets = slices.select("__slice", "__day", *_before(before_slice, "slices"))
-    days = slices.groupBy("__day").agg(F.sum("__sum").alias("__sum"), F.sum("__missing").alias("__missing"))
-    before_day = (
-        Window.partitionBy(F.struct(*[F.col(f"__day.{k}") for k in keys]))
-        .orderBy(F.asc_nulls_last(f"__day.{day}"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
-    )
-    offsets = slice_offsets.join(days.select("__day", *_before(before_day, "days")), "__day").drop("__day")
-    within = Window.partitionBy("__slice").orderBy(row_id).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumns(
-        {
-            "__sum_rows": F.coalesce(F.sum(value).over(within), F.lit(0)),
-            "__missing_rows": F.count_if(F.col(value).isNull()).over(within),
-        }
-    )
-    total = F.col("__sum_rows") + F.col("__sum_slices") + F.col("__sum_days")
-    gaps = F.col("__missing_rows") + F.col("__missing_slices") + F.col("__missing_days")
-    return local.join(offsets, "__slice").select(*df.columns, F.when(gaps == 0, total).alias(out))
-
-
-def _before(w, level: str) -> list[Column]:
-    """Sums of the preceding rows' totals and missing counts."""
-    return [F.coalesce(F.sum(f"__{c}").over(w), F.lit(0)).alias(f"__{c}_{level}") for c in ("sum", "missing")]
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow - 1)
+    carried = totals.select(
+        "__part",
+        "__key",
+        F.count("__part").over(before).alias("__earlier"),
+        F.coalesce(F.sum("__brought").over(before), F.lit(0)).alias("__brought"),
+        F.sum("__missing").over(before).alias("__missing"),
+    ).where("__earlier > 0")
+    joined = local.withColumn("__key", F.struct(*keys)).join(F.broadcast(carried), ["__part", "__key"], "left")
+    total = F.col("__sum") + F.coalesce("__brought", F.lit(0))
+    gaps = F.col("__gaps") + F.coalesce("__missing", F.lit(0))
+    return joined.select(*df.columns, F.when(gaps == 0, total).alias(out))
 
 
 def earliest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

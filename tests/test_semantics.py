@@ -20,6 +20,7 @@ from tallyfield.operators.ordered import (
     fill_down_up,
     grain_counts,
     ledger_running_total,
+    ranged,
     repair_cumulative,
     running_total,
 )
@@ -228,7 +229,41 @@ def test_ledger_total_with_dense_and_sparse_ids(spark, ids):
         running[account] = running.get(account, 0) + v
         want[i] = running[account]
     assert {r["row_id"]: r["upto"] for r in total.collect()} == want
-    plan = total._jdf.queryExecution().optimizedPlan().toString()
-    width = float(plan.split(" / ")[1].split(")")[0])
-    slices = {(a, int((float(i) - min(ids(k) for k in range(3000))) / width)) for i, a, _, _ in rows}
-    assert 10 <= len(slices) <= 60
+    loads = ranged(df, ["account"], ["d", "row_id"], slice_rows=200).groupBy(F.spark_partition_id()).count().collect()
+    assert len(loads) >= 8 and max(r["count"] for r in loads) <= 2 * 3000 / 15
+
+
+def test_ledger_total_with_an_outlier_id_and_a_hot_entity(spark):
+    """Ids 1 to 6,000 and one far off; one account, missing in one case, has a third of all rows on one day."""
+    for hot in ("hot", None):
+        rows = [(i, hot if i % 3 == 0 else f"a{i % 977}", day("2020-01-01") if i % 3 == 0 else day(f"2020-01-{1 + i % 28:02d}"), i % 11) for i in range(6000)]
+        rows.append((10**18, hot, day("2020-01-01"), 5))
+        df = spark.createDataFrame(rows, "row_id long, account string, d date, v int").repartition(8)
+        got = {r["row_id"]: r["upto"] for r in ledger_running_total(df, "v", ["account"], "d", "row_id", "upto", slice_rows=500).collect()}
+        running, want = {}, {}
+        for i, account, _, v in sorted(rows, key=lambda r: (r[2], r[0])):
+            running[account] = running.get(account, 0) + v
+            want[i] = running[account]
+        assert got == want
+        loads = ranged(df, ["account"], ["d", "row_id"], slice_rows=500).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in loads) <= 2 * 6001 / 13
+
+
+def test_ledger_total_of_several_keys_decimals_and_no_rows(spark):
+    rows = [(i, i % 2, None if i % 5 == 0 else "x", None, None if i == 33 else i + 0.25) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a int, b string, d date, v double").withColumn("v", F.col("v").cast("decimal(10,2)"))
+    got = {r["id"]: r["t"] for r in ledger_running_total(df, "v", ["a", "b"], "d", "id", "t", slice_rows=4).collect()}
+    running, want = {}, {}
+    for i, a, b, _, v in rows:
+        before = running.get((a, b), 0)
+        running[a, b] = None if v is None or before is None else before + v
+        want[i] = running[a, b]
+    assert {i: None if t is None else float(t) for i, t in got.items()} == want
+    none = ledger_running_total(df.limit(0), "v", ["a", "b"], "d", "id", "t")
+    assert none.columns == ["id", "a", "b", "d", "v", "t"] and none.collect() == []
+
+
+def test_ledger_total_moves_rows_once(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k", "date'2020-01-01' AS d", "id AS v")
+    plan = ledger_running_total(df, "v", ["k"], "d", "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(__key") <= 2
