@@ -10,6 +10,7 @@ from tallyfield.operators.controls import controlled_impact, donor_gram, donor_p
 from tallyfield.operators.fits import gompertz_fits
 from tallyfield.operators.impact import align_pairs, impact_summary, regression_impact, sampled_impact, spike_periods
 from tallyfield.plans import enrichment, ranking, repository, subscription
+from tallyfield.plans.continued_panel import ContinuedPanel
 from tallyfield.plans.crawl_state import CrawlState
 from tallyfield.registry.cleaning import content_repo, rounded
 from tallyfield.registry.core import query
@@ -190,6 +191,18 @@ def h8(spark, folder):
     return content_repo(spark, folder)
 
 
+@query("h8_continued_panel", """
+SELECT site_key, years, months, downloads, CAST(ttl_uploads AS BIGINT) AS ttl_uploads, CAST(cum_uploads AS BIGINT) AS cum_uploads FROM content_repo
+""", "content_repo")
+def h8_continued(spark, folder):
+    """The whole monthly panel, reached in three steps from an empty state; the second step is sent twice."""
+    uploads, downloads = tables.uploads(spark, folder), tables.downloads_monthly(spark, folder)
+    state = ContinuedPanel(spark, work_path(spark, "continued-panel"))
+    for year, month in ((1997, 6), (2000, 2), (2000, 2), (LAST_YEAR, 12)):
+        state.advance(uploads, downloads, year, month)
+    return state.panel()
+
+
 @query("h9_size_segments", """
 SELECT site_key, date, downloads, CAST(uploads AS BIGINT) AS uploads, CAST(ttl_uploads AS BIGINT) AS ttl_uploads, repo_group FROM labelled
 """, "labelled")
