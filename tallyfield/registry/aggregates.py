@@ -9,10 +9,12 @@ from tallyfield.operators.fits import linear_fit
 from tallyfield.operators.joins import null_safe_join
 from tallyfield.operators.quantiles import PROFILE_POINTS, exact_quantiles, profile_table, six_numbers
 from tallyfield.operators.reshape import box_statistics, histogram, log_density, to_long, to_wide
+from tallyfield.operators.selection import edge_values, selected_boxes, selected_quantiles
 from tallyfield.plans import repository
 from tallyfield.registry.cleaning import content_repo, rounded
 from tallyfield.registry.composites import FIRST_DAY, LAST_DAY, SNAPSHOT, daily, history, labelled, segments, times
 from tallyfield.registry.core import query
+from tallyfield.session import materialised
 from tallyfield.sources import tables
 
 METRICS = repository.METRICS
@@ -214,3 +216,45 @@ FROM lineitem GROUP BY l_returnflag
 """)
 def d9_groups(spark, folder):
     return rounded(exact_quantiles(tables.table(spark, folder, "lineitem"), "l_extendedprice", by=["l_returnflag"]))
+
+
+@query("d7_edge_values", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", '{side}' AS side, CAST(place AS INTEGER) AS place, CAST(v AS DOUBLE) AS value
+FROM (SELECT v, row_number() OVER (ORDER BY v {order}) AS place FROM (SELECT DISTINCT {c} AS v FROM content_repo WHERE {c} IS NOT NULL)) WHERE place <= 5"""
+    for c in METRICS for side, order in (("lowest", "ASC"), ("highest", "DESC"))), "content_repo")
+def d7_edges(spark, folder):
+    return edge_values(content_repo(spark, folder), METRICS)
+
+
+@query("d8_selected_six_numbers", _SIX, "subscription")
+def d8_selected(spark, folder):
+    measures = ["decision", "usage_days", "onboarding_days", "price"]
+    rows = materialised(history(spark, folder).select(*measures), "measures")
+    found = selected_quantiles(rows, measures, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
+    return rounded(found.drop("n"))
+
+
+_BY_FLAG = " UNION ALL ".join(f"""
+SELECT l_returnflag, '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS missing, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+  round(avg({c}), 6) AS mean, {", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS p{round(p * 100):02d}" for p in PROFILE_POINTS)}
+FROM lineitem GROUP BY l_returnflag""" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+
+
+@query("d9_selected_quantiles", _BY_FLAG)
+def d9_selected(spark, folder):
+    names = [f"p{round(p * 100):02d}" for p in PROFILE_POINTS]
+    rows = tables.table(spark, folder, "lineitem")
+    return rounded(selected_quantiles(rows, ["l_quantity", "l_extendedprice", "l_discount"], PROFILE_POINTS, names, ["l_returnflag"]))
+
+
+@query("d15_selected_boxes", """
+WITH q AS (SELECT l_linestatus, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.75) AS q3
+  FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_linestatus)
+SELECT l_linestatus, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  min(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
+  max(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
+  count(*) FILTER (NOT l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers, count(l_extendedprice) AS n
+FROM lineitem JOIN q USING (l_linestatus) GROUP BY l_linestatus, q1, median, q3
+""")
+def d15_selected(spark, folder):
+    return rounded(selected_boxes(tables.table(spark, folder, "lineitem"), ["l_linestatus"], "l_extendedprice"))
