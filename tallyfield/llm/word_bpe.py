@@ -12,6 +12,7 @@ file's own normaliser and word splitter; their pieces are encoded like all other
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_WORDS = 500_000
+SHORT_WORD = 48  # symbols; up to here scanning all pairs per merge is faster than a heap
 END = "</w>"
 
 # Characters whose lower case and composed form are the same in every library: ASCII and the letters of Latin-1.
@@ -75,6 +77,7 @@ class WordBpe:
             if not text.endswith(END):
                 self.reach[text[:3]] = max(self.reach.get(text[:3], 0), len(text))
         self.keys = np.array([a * n + b for a, b in self.rank], np.int64)
+        self.longest_end = max((len(text) for text in self.ids if text.endswith(END)), default=0)
         order = np.argsort(self.keys)
         self.keys, self.key_ranks, self.n = self.keys[order], np.array(list(self.rank.values()), np.int64)[order], n
         self.alphabet = byte_alphabet()
@@ -91,6 +94,8 @@ class WordBpe:
 
     def merge(self, tokens: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost first, until no pair can be merged."""
+        if len(tokens) > SHORT_WORD:
+            return self.merge_long(tokens)
         tokens, rank = list(tokens), self.rank
         ranks = [rank.get(p, 1 << 60) for p in zip(tokens, tokens[1:], strict=False)]
         while ranks and (best := min(ranks)) < 1 << 60:
@@ -103,6 +108,26 @@ class WordBpe:
                 ranks[i] = rank.get((tokens[i], tokens[i + 1]), 1 << 60)
         return tokens
 
+    def merge_long(self, tokens: list[int]) -> list[int]:
+        """The same merges from a heap over linked neighbours, n log n in the length of the word."""
+        tokens, rank, n = list(tokens), self.rank, len(tokens)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(rank[p], i, p) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in rank]
+        heapq.heapify(heap)
+        while heap:
+            _, i, pair = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or (tokens[i], tokens[j]) != pair:  # one of the two has been merged since
+                continue
+            tokens[i], tokens[j] = self.merged[pair], -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right >= 0 and (r := rank.get((tokens[left], tokens[right]))) is not None:
+                    heapq.heappush(heap, (r, left, (tokens[left], tokens[right])))
+        return [t for t in tokens if t >= 0]
+
     # --- verification --------------------------------------------------------------------------------------------
 
     def leaves(self, token: int) -> list[int]:
@@ -163,7 +188,7 @@ class WordBpe:
         get, stable, reach, out, i, n = self.ids.get, self.stable_ids, self.reach, [], 0, len(piece)
         whole = piece + END
         while True:
-            t = get(whole[i:])
+            t = get(whole[i:]) if len(whole) - i <= self.longest_end else None
             if t is not None and t in stable:
                 out.append(t)
                 return out
