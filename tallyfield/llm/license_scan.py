@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -193,13 +194,23 @@ class Scanner:
 
 
 def unsuppressed(found: list[Detection]) -> list[Detection]:
-    """Detections that no stronger one contains; of equal intervals with equal priority all stay."""
+    """Detections that none of higher priority, and no longer one of equal priority, contains; equal ones all stay.
+
+    One sweep by start: per priority the furthest end so far tells whether anything contains a detection.
+    """
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.rule.priority, d.start - d.end, d.start)):
-        inside = any(k.start <= d.start and d.end <= k.end and (k.end - k.start > d.end - d.start or k.rule.priority > d.rule.priority) for k in kept)
-        if not inside:
-            kept.append(d)
-    return kept
+    furthest: dict[int, int] = {}  # of all starts up to the present one
+    for _, group in groupby(sorted(found, key=lambda d: d.start), key=lambda d: d.start):
+        here = list(group)
+        earlier = dict(furthest)
+        for d in here:
+            furthest[d.rule.priority] = max(furthest.get(d.rule.priority, 0), d.end)
+        for d in here:
+            p = d.rule.priority
+            inside = earlier.get(p, -1) >= d.end or furthest[p] > d.end or any(end >= d.end for q, end in furthest.items() if q > p)
+            if not inside:
+                kept.append(d)
+    return sorted(kept, key=lambda d: (-d.rule.priority, d.start - d.end, d.start))
 
 
 @lru_cache(maxsize=2)
