@@ -7,8 +7,8 @@ reaches the driver. Rows are exchanged once, when slots are dealt: within a shar
 are a key cell each, and several groups for a cell with more rows than its share, so no task sees a whole shard.
 
 Defined cases: a missing text has size 8 and no checksum, a missing id hashes like any other value; repeated rows are
-separate rows; rows that agree in text and id cannot be told apart by a splitter and stay together; an empty table gives
-an empty result; other columns never take part (`shard_documents`) or are carried along (`write_shards`).
+separate rows; rows that agree in text and id cannot be told apart by a splitter and stay in one shard, but their slots
+are dealt in several groups, told apart by the row number they were written with; an empty table gives an empty result; other columns never take part (`shard_documents`) or are carried along (`write_shards`).
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("h"),
         F.xxhash64(F.col(doc_id)).alias("d"),
+        F.monotonically_increasing_id().alias("u"),
     )
 
 
@@ -156,12 +157,12 @@ def shard_documents(
     dealt = (
         keys.withColumns({"shard": shard_of(splitters), "cell": cells_of(F.col("h"), LOW, 64).cast("int")})
         .join(F.broadcast(groups), "cell")
-        .withColumn("part", F.pmod(F.col("d"), F.col("groups")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("d", "u"), F.col("groups")).cast("int"))
     )
     place = ["shard", "cell", "part"]
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*place).count().select(*place, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy(*place).orderBy("h", "d", "doc_id")
+    inside = Window.partitionBy(*place).orderBy("h", "d", "doc_id", "u")
     numbered = dealt.withColumn("at", F.row_number().over(inside))
     return numbered.join(starts, place).select(
         "doc_id",
