@@ -6,11 +6,11 @@ recurrence: equal runs get equal labels, so each worker labels a run once, remem
 bound, and adds them up per document. Every byte of every run of a text counts, however long the text.
 
 Training is plain backpropagation through time in numpy, on the driver, over a bounded sample: at most `PER_LANGUAGE`
-documents of each language, chosen by a hash of their ids, and at most `RUNS_PER_DOC` distinct runs of each, spread over
-the whole text by a hash. Only text and language of documents outside the held-out fold take part.
+distinct documents of each language, chosen by a hash of id and text, and at most `RUNS_PER_DOC` distinct runs of each,
+spread over the whole text by a hash. Only text and language of documents outside the held-out fold take part.
 
 Defined cases: a missing text or one without letters gets `und` and score 0; documents without a language or an id are
-predicted but never learned from; repeated rows are predicted one by one; a corpus without any labelled document gives
+predicted but never learned from; repeated rows are predicted one by one and learned from once; a corpus without any labelled document gives
 `und` everywhere; other columns never take part.
 """
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.session import materialised
+
 PER_LANGUAGE = 400
 RUNS_PER_DOC = 48
 SAMPLE_PARTS = 64
@@ -194,32 +196,40 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_runs(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int) -> DataFrame:
-    """Runs with their language from the bounded sample."""
-    key = F.xxhash64("doc_id")
+    """Runs with their language from the bounded sample: `lang`, `doc_id`, `print` (the text's hash) and `run`.
+
+    A document of the sample is a distinct (language, id, text), so repeated rows count once and an id with many texts
+    takes no more places than its texts.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), F.col(lang).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("body").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("body").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.withColumn("print", F.xxhash64("body"))
+    ids = ["lang", "doc_id", "print"]
+    key = F.xxhash64("doc_id", "print")
     # The smallest hashes of each language, found in parts first: one task then sees a bounded number of rows.
-    chosen = rows.select("lang", "doc_id").withColumn("part", F.pmod(key, F.lit(SAMPLE_PARTS)))
+    chosen = rows.select(*ids).distinct().withColumn("part", F.pmod(key, F.lit(SAMPLE_PARTS)))
     for groups in (("lang", "part"), ("lang",)):
-        first = Window.partitionBy(*groups).orderBy(key, "doc_id")
+        first = Window.partitionBy(*groups).orderBy(key, "doc_id", "print")
         chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
-    sample = rows.join(F.broadcast(chosen.where(F.col("lang") != UNKNOWN).select("doc_id").distinct()), "doc_id", "left_semi").select("body", "lang")
+    sample = rows.join(materialised(chosen.select(*ids), "language-sample"), ids, "left_semi").select(*ids, "body")
+    schema = f"lang string, doc_id {dict(rows.dtypes)['doc_id']}, print long, run string"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, langs = [], []
-            for body, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            runs, at = [], []
+            for i, body in enumerate(batch.column(3).to_pylist()):
                 some = sorted(set(runs_of(body)), key=lambda r: (zlib.crc32(r.encode()), r))[:RUNS_PER_DOC]
                 runs += some
-                langs += [lang] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.string()), pa.array(langs, pa.string())], names=["run", "lang"])
+                at += [i] * len(some)
+            kept = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(runs, pa.string())], names=[*ids, "run"])
 
-    return sample.mapInArrow(pick, "run string, lang string")
+    return sample.mapInArrow(pick, schema).distinct()
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, lang: str, per_language: int = PER_LANGUAGE) -> ByteGru | None:
     """The trained network, or None if nothing is labelled. At most MAX_LANGUAGES languages, or an error."""
-    table = training_runs(docs, doc_id, text, lang, per_language).toArrow()
+    table = training_runs(docs, doc_id, text, lang, per_language).select("run", "lang").toArrow()
     pairs = sorted(zip(table.column("run").to_pylist(), table.column("lang").to_pylist(), strict=True))
     languages = sorted({p[1] for p in pairs})
     if not languages:

@@ -3,10 +3,12 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfield.llm import language_id, license_scan
 from tallyfield.llm.embedding_dedup import link_embeddings
@@ -386,3 +388,61 @@ def test_pipeline_stage_keeps_one_document_of_a_hub_group(spark):
     assert not any(100 * len(a & b) >= 80 * len(a | b) for a, b in itertools.combinations(sets[1:], 2))
     stage = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
     assert sorted(r["doc_id"] for r in stage.collect()) == [0, 1000]
+
+
+def test_long_words_merge_like_short_ones_and_in_time(library):
+    """80,000 random letters in one word, in ranks' order from a heap, against the library."""
+    bpe = WordBpe(tokenizer_path())
+    rng = random.Random(5)
+    for n in (1, 2, 48, 49, 50, 300):
+        for letters in ("a", "ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz0"):
+            symbols = bpe.symbols("".join(rng.choices(letters, k=n)))
+            assert bpe.merge_long(symbols) == bpe.merge(symbols) == merged_slowly(bpe, symbols)
+    word = "".join(rng.choices("etaoinshrdlucmf", k=80_000))
+    began = time.process_time()
+    (ids,) = bpe.encode_batch([word])
+    assert time.process_time() - began < 3
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
+
+
+def merged_slowly(bpe, tokens):
+    tokens = list(tokens)
+    while found := [(bpe.rank[p], i) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in bpe.rank]:
+        _, i = min(found)
+        tokens[i : i + 2] = [bpe.merged[(tokens[i], tokens[i + 1])]]
+    return tokens
+
+
+def test_suppression_sweep_equals_all_pairs():
+    rng = random.Random(8)
+    for size in (0, 1, 5, 60, 200):
+        found = []
+        for i in range(size):
+            start, priority = rng.randrange(40), rng.choice([50, 60, 70, 100])
+            found.append(license_scan.Detection(start, start + rng.randrange(1, 12), license_scan.LicenseRule(f"l{i}", "x", "x", priority)))
+        over = lambda k, d: k.rule.priority > d.rule.priority or (k.rule.priority == d.rule.priority and k.end - k.start > d.end - d.start)
+        want = [d for d in found if not any(k.start <= d.start and d.end <= k.end and over(k, d) for k in found)]
+        assert {d.rule.label for d in license_scan.unsuppressed(found)} == {d.rule.label for d in want}
+
+
+def test_language_sample_is_bounded_when_one_id_holds_most_rows(spark):
+    """An id with thousands of equal rows and one with many texts take no more than their places."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    rows = [(1, " ".join(words[:60]), "en")] * 3000 + [(3, " ".join(words[i : i + 60]), "en") for i in range(900)]
+    rows += [(i, " ".join(words[i : i + 5]), "fr") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    runs = language_id.training_runs(docs, "doc_id", "text", "lang", 50)
+    per = {r["lang"]: r for r in runs.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id", "print").alias("docs")).collect()}
+    learned = spark.createDataFrame([(1,), (3,)], "doc_id long").where(~language_id.held_out(F.col("doc_id"))).count()
+    assert learned == 2 and per["en"]["docs"] == 50 and per["fr"]["docs"] == 50
+    assert per["en"]["n"] <= 50 * language_id.RUNS_PER_DOC
+    assert runs.groupBy("lang", "doc_id", "print", "run").count().where("count > 1").count() == 0
+
+
+def test_equal_rows_are_dealt_in_several_slot_groups(spark):
+    """Rows that agree in id and text stay in one shard; slots are gapless and every row has its own."""
+    rows = [(7, "same text")] * 3000 + [(i, f"text {i}") for i in range(3000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=4).toPandas()
+    assert len(got) == 6000 and got[got.doc_id == 7].groupby("text_crc32").shard.nunique().max() == 1
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
