@@ -29,7 +29,7 @@ from tallyfield.session import materialised
 
 PER_LANGUAGE = 400
 RUNS_PER_DOC = 48
-SAMPLE_PARTS = 64
+SAMPLE_BITS = 6  # leading bits of a hash that make its range
 MAX_LANGUAGES = 200
 HIDDEN = 24
 EPOCHS = 4
@@ -206,11 +206,15 @@ def training_runs(docs: DataFrame, doc_id: str, text: str, lang: str, per_langua
     rows = rows.withColumn("print", F.xxhash64("body"))
     ids = ["lang", "doc_id", "print"]
     key = F.xxhash64("doc_id", "print")
-    # The smallest hashes of each language, found in parts first: one task then sees a bounded number of rows.
-    chosen = rows.select(*ids).distinct().withColumn("part", F.pmod(key, F.lit(SAMPLE_PARTS)))
-    for groups in (("lang", "part"), ("lang",)):
-        first = Window.partitionBy(*groups).orderBy(key, "doc_id", "print")
-        chosen = chosen.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).drop("n")
+    # The smallest hashes of each language: the first rows of each range of hashes, then of the first ranges that suffice.
+    parts = rows.select(*ids).distinct().withColumn("part", F.shiftright(key, 64 - SAMPLE_BITS))
+    first = Window.orderBy(key, "doc_id", "print")
+    in_part = parts.withColumn("n", F.row_number().over(first.partitionBy("lang", "part"))).where(F.col("n") <= per_language).drop("n")
+    in_part = materialised(in_part, "language-parts")
+    below = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = in_part.groupBy("lang", "part").count().withColumn("below", F.coalesce(F.sum("count").over(below), F.lit(0)))
+    enough = in_part.join(sizes.where(F.col("below") < per_language).select("lang", "part"), ["lang", "part"], "left_semi")
+    chosen = enough.withColumn("n", F.row_number().over(first.partitionBy("lang"))).where(F.col("n") <= per_language)
     sample = rows.join(materialised(chosen.select(*ids), "language-sample"), ids, "left_semi").select(*ids, "body")
     schema = f"lang string, doc_id {dict(rows.dtypes)['doc_id']}, print long, run string"
 
