@@ -90,7 +90,7 @@ def _narrowed(values: DataFrame, ranks: DataFrame, grid: int) -> DataFrame:
 
 def _gathered(values: DataFrame, ranks: DataFrame) -> DataFrame:
     """(k, rank, value) for ranks whose intervals hold few rows."""
-    cells = ranks.select("k", "lo", "hi").distinct()
+    cells = materialised(ranks.select("k", "lo", "hi").distinct(), "selection-cells")
     lists = (
         values.join(cells, "k")
         .where(F.col("v").between(F.col("lo"), F.col("hi")))
@@ -145,10 +145,11 @@ def selected_quantiles(
         if open_.isEmpty():
             break
         if not sketched:
-            cells = open_.select("k", "lo", "hi").distinct()
+            cells = materialised(open_.select("k", "lo", "hi").distinct(), "selection-cells")
             inside = values.join(cells, "k").where(F.col("v").between(F.col("lo"), F.col("hi")))
             sketches = materialised(inside.groupBy("k", "lo", "hi").agg(_sketch(grid).alias("s")), "selection-sketch")
-            open_ = open_.join(sketches, ["k", "lo", "hi"])
+            # Written, as a join's estimated size is the product of its sides': the values would be shuffled to these few rows.
+            open_ = materialised(open_.join(sketches, ["k", "lo", "hi"]), "selection-open")
         ranks = materialised(_narrowed(values, open_, grid), "selection-ranks")
         sketched = False
     settled = done[0]

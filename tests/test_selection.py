@@ -98,3 +98,18 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "g string, v double")
     assert selected_quantiles(empty, ["v"], POINTS, NAMES, ["g"]).count() == 0
     assert selected_boxes(empty, ["g"], "v").count() == 0 and edge_values(empty, ["v"]).count() == 0
+
+
+def test_rounds_join_written_ranks(spark, monkeypatch):
+    """The values meet few stored rows in every round, so that they are never shuffled to their groups."""
+    sizes, narrowed = [], selection._narrowed
+
+    def seen(values, ranks, grid):
+        sizes.append(int(str(ranks._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return narrowed(values, ranks, grid)
+
+    monkeypatch.setattr(selection, "_narrowed", seen)
+    df = spark.range(40_000).selectExpr("id % 2 AS g", "CAST(id * id AS double) AS v")
+    got = {r["g"]: r["p"] for r in selected_quantiles(df, ["v"], [0.5], ["p"], ["g"], take=5).collect()}
+    assert got == {g: ((19_998 + g) ** 2 + (20_000 + g) ** 2) / 2 for g in (0, 1)}
+    assert len(sizes) > 1 and max(sizes) < 1_000_000
