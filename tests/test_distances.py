@@ -3,11 +3,13 @@
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions import distances as d
-from tallyfield.functions.distances import distance_columns
+from tallyfield.functions.distances import _osa, _osa_words, _table_distance, distance_columns
 
 # The recorded results.
 GOLDENS = [
@@ -114,3 +116,15 @@ def test_batched_distances_equal_plain_loops(spark):
     got = df.select("a", "b", d.damerau("a", "b").alias("dl"), d.jaro("a", "b").alias("jw")).collect()
     assert all(r["dl"] == damerau(r["a"], r["b"]) for r in got)
     assert all(abs(r["jw"] - jaro(r["a"], r["b"])) < 1e-12 for r in got)
+
+
+def test_osa_by_words_equals_the_table():
+    rng = np.random.default_rng(23)
+    texts = lambda n, most: ["".join(rng.choice(list("abcé\U0001f600"), rng.integers(0, most))) for _ in range(n)]
+    a = [*texts(300, 9), *texts(200, 65), "x" * 64, "x" * 65, "", ""]
+    b = [*texts(300, 9), *texts(200, 90), "x" * 70, "y" * 65, "", "ab"]
+    b[300:400] = [t[1::-1] + t[2:30] + t[31:] for t in a[300:400]]
+    want = [int(_table_distance([x], [y], True, True)[0]) for x, y in zip(a, b, strict=True)]
+    short = [i for i, t in enumerate(a) if len(t) <= 64]
+    assert _osa_words([a[i] for i in short], [b[i] for i in short]).tolist() == [want[i] for i in short]
+    assert _osa(pd.Series([*a, None]), pd.Series([*b, "a"])).tolist() == [*want, pd.NA]
