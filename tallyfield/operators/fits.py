@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from tallyfield.functions.nulls import not_listed
 from tallyfield.operators.joins import spread
+from tallyfield.session import materialised
 
 GOMPERTZ_SCHEMA = (
     "site_key bigint, status string, message string, n int, term string, estimate double, std_error double, "
     "statistic double, p_value double, residual_se double"
 )
 TERMS = ("Asym", "b2", "b3")
-BATCH_SITES = 64
+BATCH_SITES = 1_024
 
 
 def linear_fit(df: DataFrame, y: str, x: str, keys: list[str]) -> DataFrame:
@@ -99,8 +100,17 @@ def _curves(theta: np.ndarray, u: np.ndarray, v: np.ndarray, there: np.ndarray)
         curve = np.exp(-theta[:, 1:2] * decay)
         fitted = theta[:, :1] * curve
         residual = np.where(there, v - fitted, 0.0)
-        slope = np.stack([curve, -fitted * decay, fitted * theta[:, 1:2] * u * decay], axis=2) * there[:, :, None]
-        return (residual**2).sum(axis=1), np.einsum("snk,sn->sk", slope, residual), np.einsum("snk,snl->skl", slope, slope)
+        slopes = (curve * there, -fitted * decay * there, fitted * theta[:, 1:2] * u * decay * there)
+    # Places go down the rows, so that the sums of all sites advance together, place by place; one site alone would be summed in another order.
+    sites = len(theta)
+    across = [np.ascontiguousarray((a if sites > 1 else np.repeat(a, 2, axis=0)).T) for a in (*slopes, residual)]
+    gradient, normal = np.empty((sites, 3)), np.empty((sites, 3, 3))
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        for k in range(3):
+            gradient[:, k] = np.einsum("ns,ns->s", across[k], across[3])[:sites]
+            for m in range(k + 1):
+                normal[:, k, m] = normal[:, m, k] = np.einsum("ns,ns->s", across[k], across[m])[:sites]
+        return (residual**2).sum(axis=1), gradient, normal
 
 
 def _slope_offset(theta: np.ndarray, u: np.ndarray, v: np.ndarray) -> float:
@@ -223,20 +233,23 @@ def gompertz_fits(
     """One row per site and term; a site whose fit fails keeps one row with the reason.
 
     `rounds` bounds the steps of one fit; a fit that needs more says so in its message. Sites are dealt into groups of about
-    `BATCH_SITES`, whose fits advance together; a group holds that many calendars.
+    `BATCH_SITES`, whose fits advance together; a group holds that many calendars. It lasts as long as its slowest fit, and the
+    steps of the few slow ones cost a group of this size hardly more than a small one. The panel is computed once.
     """
     rows = panel.where(not_listed(F.col("site_key"), excluded)).select(
         F.col("site_key").cast("string").alias("site"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
+    rows = materialised(rows, "fit-points")
     groups = max(1, -(-rows.select("site").distinct().count() // BATCH_SITES))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         keys, sizes, series = [], [], []
         for key, site in group.groupby("site", dropna=False, sort=True):
-            points = site[["x", "y"]].dropna()
+            points = site[["x", "y"]].to_numpy(float)
+            points = points[~np.isnan(points).any(axis=1)]
             keys.append(None if pd.isna(key) else int(key))
             sizes.append(len(points))
-            series.append((points["x"].to_numpy(float), points["y"].to_numpy(float)))
+            series.append((points[:, 0].copy(), points[:, 1].copy()))
         fits = gompertz_fit_many(series, rounds)
         found = [r for key, n, result in zip(keys, sizes, fits, strict=True) for r in _site_rows(key, n, result)]
         return pd.DataFrame(found, columns=_COLUMNS, dtype=object)

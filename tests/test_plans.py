@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.operators.fits import _two_sided_p, gompertz_fit_many, gompertz_fits
+from tallyfield.operators.fits import _curves, _two_sided_p, gompertz_fit_many, gompertz_fits
 from tallyfield.operators.impact import impact_summary, regression_impact, sampled_impact
 from tallyfield.plans import ranking, repository
 
@@ -139,6 +139,42 @@ def test_fits_that_advance_together_equal_fits_alone():
     assert gompertz_fit_many([]) == []
 
 
+def test_products_of_many_sites_equal_those_of_one():
+    """The sums do not depend on how many sites advance together, as the last bit decides whether a step lowers the loss."""
+    rng = np.random.default_rng(5)
+    u, v, theta = rng.uniform(0, 3, (9, 61)), rng.normal(5, 1, (9, 61)), rng.uniform(0.5, 4, (9, 3))
+    there = np.arange(61) < np.array([61, 40, 61, 8, 61, 61, 33, 61, 61])[:, None]
+    u, v = u * there, v * there
+    together = _curves(theta, u, v, there)
+    for k in range(9):
+        alone = _curves(theta[k : k + 1], u[k : k + 1], v[k : k + 1], there[k : k + 1])
+        assert all(np.array_equal(a[k], b[0]) for a, b in zip(together, alone, strict=True))
+        decay = np.exp(-theta[k, 2] * u[k])
+        curve = np.exp(-theta[k, 1] * decay)
+        fitted, m = theta[k, 0] * curve, there[k]
+        slope = np.column_stack([curve, -fitted * decay, fitted * theta[k, 1] * u[k] * decay])[m]
+        assert np.allclose(together[2][k], slope.T @ slope) and np.allclose(together[1][k], slope.T @ (v[k] - fitted)[m])
+        assert together[0][k] == pytest.approx(((v[k] - fitted)[m] ** 2).sum())
+
+
+def test_the_panel_is_computed_once_and_sites_meet_in_large_groups(spark):
+    """Counting the sites does not compute the panel a second time, and the few long fits share their steps with many sites."""
+    x = np.arange(1.0, 13.0)
+    data = [(s, float(v), float(80 * math.exp(-3 * math.exp(-v / (3 + s % 4))) + (s * 7 + v * 5) % 3)) for s in range(200) for v in x]
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    panel = spark.createDataFrame(data, "site_key long, cum_uploads double, downloads double")
+    got = gompertz_fits(panel.mapInArrow(told, panel.schema), rounds=200)
+    wide = got.withColumn("task", F.spark_partition_id()).collect()
+    assert seen.value == len(data) and len({r["task"] for r in wide}) == 1
+    assert {r["site_key"] for r in wide} == set(range(200)) and {r["n"] for r in wide} == {12}
+
+
 def test_running_parameters_are_told_and_keys_stay_whole(spark):
     x = np.arange(1.0, 40.0)
     big = (1 << 53) + 1
