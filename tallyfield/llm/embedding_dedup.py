@@ -5,8 +5,9 @@ pivot has a tight cell and one for what lies farther away. Cells are cut into st
 no link can join are pruned by their measured covering radii, and a tight cell whose diameter lies within the threshold
 counts as linked throughout, so a group of near copies with a third of all rows is never compared within itself.
 
-Every remaining pair of strips is one task's work: it builds the lower tree of both (nested levels with halving radii)
-and walks both trees at once. A pair of tree nodes is dropped if its centres are farther apart than both covering radii
+Strips are written once to the shared folder, a file each, and a task reads those it compares, so that no vector is sent
+once per partner: disk grows with the vectors alone. A task takes one strip and a run of its partners, builds the lower
+trees (nested levels with halving radii) and walks two trees at once. A pair of tree nodes is dropped if its centres are farther apart than both covering radii
 and the threshold, taken as linked as a whole if the farthest members are near enough, and opened otherwise; only
 leaves are compared one by one, in double precision. What a task gives back is linear in its strips: partial link counts
 and one root per linked member.
@@ -21,18 +22,24 @@ id links with nothing, has no component and is kept; an empty table gives no row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import shuffle_partitions
 from tallyfield.llm.components import connected_components
-from tallyfield.session import materialised
+from tallyfield.llm.token_planes import place
+from tallyfield.session import materialised, work_path
 
 SAMPLE = 4096
 MAX_PIVOTS = 256
 STRIP = 8192
+RUN = 64  # partners of a strip that one task compares it with, at most
 TIGHT = 0.2
 RADII = (0.5, 0.25, 0.125, 0.0625)
 BLOCK = 2_000_000  # numbers held at once per matrix while trees are walked
@@ -127,13 +134,13 @@ class Traversal:
     def run(self) -> None:
         a, b = self.a, self.b
         ra, rb = np.asarray(a.roots), np.asarray(b.roots)
-        ca, cb = a.points[a.centre[ra]].astype(np.float32), b.points[b.centre[rb]].astype(np.float32)
-        far_a, far_b = (t.radius[r].astype(np.float32) for t, r in ((a, ra), (b, rb)))
-        far_a += np.float32(self.reach + ROUNDING)
+        # Roots u, v may hold links if 1 - u.v <= (p + q)^2 / 2 with p, q their radii and the threshold; as one product of wider rows.
+        p, q, one = a.radius[ra] + self.reach + ROUNDING, b.radius[rb], np.ones
+        ca = np.column_stack([a.points[a.centre[ra]], p, p * p / 2, one(len(ra))]).astype(np.float32)
+        cb = np.column_stack([b.points[b.centre[rb]], q, one(len(rb)), q * q / 2]).astype(np.float32).T
         rows, most = max(1, BLOCK // len(rb)), max(1, BLOCK // a.points.shape[1])
         for at in range(0, len(ra), rows):
-            far = far_a[at : at + rows, None] + far_b
-            i, j = np.nonzero(2 - 2 * (ca[at : at + rows] @ cb.T) <= far * far)
+            i, j = np.divmod(np.flatnonzero(ca[at : at + rows] @ cb >= np.float32(1 - ROUNDING)), len(rb))
             left = [np.stack([ra[at + i], rb[j]])]
             if self.same:
                 left = [left[0][:, left[0][0] <= left[0][1]]]
@@ -288,29 +295,38 @@ def _links_of_length(nodes: DataFrame, rows: int, cosine: float) -> tuple[DataFr
     cell_pairs = spark.createDataFrame(partners, "cell int, other int")
     ends = cell_pairs.join(known, "cell").withColumnRenamed("strip", "s").join(known.select(F.col("cell").alias("other"), F.col("strip").alias("t")), "other")
     ends = ends.where((F.col("cell") != F.col("other")) | (F.col("s") <= F.col("t"))).select("s", "t")
-    sides = ends.select(F.col("s").alias("strip"), "s", "t").union(ends.where("s <> t").select(F.col("t"), "s", "t"))
     members = placed.join(table, "cell").select(
         "node", "copies", "vector", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("strips"))).cast("int").alias("strip")
     )
-
-    def traverse(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        s, t = group.column("s")[0].as_py(), group.column("t")[0].as_py()
-        strip, node = group.column("strip").to_numpy(), group.column("node").to_numpy()
-        copies, points = group.column("copies").to_numpy(), unit_rows(matrix(group.column("vector")))
-        x, y = np.flatnonzero(strip == s), np.flatnonzero(strip == t)
-        if not len(x) or not len(y):
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        a = CoverTree(points[x])
-        b = a if s == t else CoverTree(points[y])
-        la, lb, label = Traversal(a, b, copies[x], copies[y], cosine).result(copies[x])
-        who, links = (node[x], la + lb) if s == t else (np.concatenate([node[x], node[y]]), np.concatenate([la, lb]))
-        hit = (links != 0) | (label != np.arange(len(label)))
-        return pa.table({"node": who[hit], "links": links[hit], "root": who[label[hit]]})
-
-    parts = max(shuffle_partitions(spark), min(2000, sum(r[2] for r in strips) ** 2 // 4))
-    dealt = members.join(sides, "strip").repartition(parts, "s", "t")
-    found = materialised(dealt.groupBy("s", "t").applyInArrow(traverse, "node long, links long, root long"), "found")
+    folder, stage = work_path(spark, "strips"), shuffle_partitions(spark)
+    members.repartition(max(stage, min(2000, first)), "strip").write.partitionBy("strip").parquet(folder)
+
+    def strip_of(strip: int) -> tuple[np.ndarray, np.ndarray, CoverTree] | None:
+        system, root = place(f"{folder}/strip={strip}")
+        files = sorted(f.path for f in system.get_file_info(arrow_fs.FileSelector(root, allow_not_found=True)) if f.base_name.endswith(".parquet"))
+        if not files:  # no node was dealt to it
+            return None
+        held = pa.concat_tables([pq.read_table(f, filesystem=system, partitioning=None) for f in files])
+        return held.column("node").to_numpy(), held.column("copies").to_numpy(), CoverTree(unit_rows(matrix(held.column("vector"))))
+
+    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, run in ((s, run) for batch in batches for s, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            one = strip_of(s)
+            for t in sorted(run) if one else []:
+                two = one if s == t else strip_of(t)
+                if not two:
+                    continue
+                (x, copies_x, a), (y, copies_y, b) = one, two
+                la, lb, label = Traversal(a, b, copies_x, copies_y, cosine).result(copies_x)
+                who, links = (x, la + lb) if s == t else (np.concatenate([x, y]), np.concatenate([la, lb]))
+                hit = (links != 0) | (label != np.arange(len(label)))
+                yield pa.RecordBatch.from_pydict({"node": who[hit], "links": links[hit], "root": who[label[hit]]})
+
+    run = max(1, min(RUN, first * first // (16 * stage)))  # about eight runs or more for each of the stage's partitions
+    runs = ends.groupBy("s", F.floor(F.col("t") / run).alias("run")).agg(F.collect_list("t").alias("t")).select("s", "t")
+    runs = materialised(runs, "runs")
+    dealt = runs.repartition(max(stage, min(2000, runs.count())))
+    found = materialised(dealt.mapInArrow(traverse, "node long, links long, root long"), "found")
     return counts.union(found.select("node", "links")), edges.union(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 

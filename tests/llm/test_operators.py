@@ -208,6 +208,31 @@ def test_embedding_links_equal_all_pairs(spark, monkeypatch):
     assert {r["vec_id"]: r["component_id"] for r in got} == want
 
 
+def test_vectors_are_written_once_and_not_once_per_partner(spark, monkeypatch):
+    """Strips that meet many others are read by their tasks; disk holds every vector once, whatever the number of strips."""
+    from tallyfield.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "STRIP", 20)
+    monkeypatch.setattr(embedding_dedup, "RUN", 3)
+    folders, sent = [], []
+    work_path, kept = embedding_dedup.work_path, embedding_dedup.materialised
+    monkeypatch.setattr(embedding_dedup, "work_path", lambda *a: folders.append(work_path(*a)) or folders[-1])
+    monkeypatch.setattr(embedding_dedup, "materialised", lambda df, label: sent.append(df) or kept(df, label))
+    draw = np.random.default_rng(9)
+    x = np.repeat(draw.standard_normal((100, 6)), 4, axis=0) + 0.1 * draw.standard_normal((400, 6))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = link_embeddings(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(linked.sum(axis=1).tolist()))
+    assert {r["vec_id"]: r["component_id"] for r in got} == brute_components(range(len(x)), zip(*np.nonzero(linked), strict=True))
+    written = spark.read.parquet(folders[0])
+    assert written.count() == written.select("node").distinct().count() == 400 and written.select("strip").distinct().count() > 20
+    runs, found = (next(df for df in sent if c in df.columns) for c in ("t", "links"))
+    assert runs.count() > 20 and max(len(r["t"]) for r in runs.collect()) <= 3
+    assert "vector" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gradients_equal_differences():
     model = language_id.ByteGru(["x", "y"], hidden=3, seed=1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
